@@ -24,62 +24,48 @@ KINDS = {
 }
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_STRING, _INT, _LONG, _DOUBLE = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
+_BOOLEAN, _TIMESTAMP = T.BooleanType(), T.TimestampType()
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, type_) for name, type_ in fields.items()])
 
 
 EXIF = _struct(
-    "model string, lens string, exposure struct<n:bigint,d:bigint>, "
-    "f_number double, iso bigint, focal_length double"
+    model=_STRING, lens=_STRING, exposure=_struct(n=_LONG, d=_LONG), f_number=_DOUBLE, iso=_LONG,
+    focal_length=_DOUBLE,
 )
 SIGNALS = _struct(
-    "focus double, eyes double, open double, highlights double, "
-    "shadows double, faces bigint, face double"
+    focus=_DOUBLE, eyes=_DOUBLE, open=_DOUBLE, highlights=_DOUBLE, shadows=_DOUBLE, faces=_LONG,
+    face=_DOUBLE,
+)
+STANDING = _struct(of=_LONG, sharp=_DOUBLE, open=_DOUBLE)
+SUGGESTION = _struct(rating=_INT, by=_STRING, confidence=_DOUBLE)
+FILE_ID = _struct(path=_STRING, size=_LONG, modified=_LONG, captured=_STRING)
+FACE = _struct(
+    score=_DOUBLE, bounds=T.ArrayType(_DOUBLE), eyes=T.ArrayType(T.ArrayType(_DOUBLE)), open=_DOUBLE
 )
-STANDING = _struct("of bigint, sharp double, open double")
-SUGGESTION = _struct("rating int, by string, confidence double")
-FILE_ID = _struct("path string, size bigint, modified bigint, captured string")
-FACE = _struct("score double, bounds array<double>, eyes array<array<double>>, open double")
 
-FRAMES = (
-    T.StructType()
-    .add("dir", "string")
-    .add("path", "string")
-    .add("name", "string")
-    .add("kind", "string")
-    .add("rating", "integer")
-    .add("captured", "double")
-    .add("suggested", "integer")
-    .add("exif", EXIF)
-    .add("signals", SIGNALS)
+FRAMES = _struct(
+    dir=_STRING, path=_STRING, name=_STRING, kind=_STRING, rating=_INT, captured=_DOUBLE,
+    suggested=_INT, exif=EXIF, signals=SIGNALS,
 )
 
-DECISIONS = (
-    T.StructType()
-    .add("v", "integer")
-    .add("at", "long")
-    .add("session", "long")
-    .add("file", FILE_ID)
-    .add("rating", "integer")
-    .add("was", "integer")
-    .add("how", "string")
-    .add("view", "string")
-    .add("compared", T.ArrayType(FILE_ID))
-    .add("filter", "string")
-    .add("dwell_ms", "long")
-    .add("signals", SIGNALS)
-    .add("standing", STANDING)
-    .add("suggested", SUGGESTION)
+DECISIONS = _struct(
+    v=_INT, at=_LONG, session=_LONG, file=FILE_ID, rating=_INT, was=_INT, how=_STRING, view=_STRING,
+    compared=T.ArrayType(FILE_ID), filter=_STRING, dwell_ms=_LONG, signals=SIGNALS,
+    standing=STANDING, suggested=SUGGESTION,
 )
 
 LISTING = _struct(
-    "path string, parent string, name string, is_dir boolean, length bigint, modified timestamp"
+    path=_STRING, parent=_STRING, name=_STRING, is_dir=_BOOLEAN, length=_LONG, modified=_TIMESTAMP
 )
-SIDECARS = _struct("sidecar_path string, xmp string")
-PIXELS = _struct("path string, x int, y int, r int, g int, b int")
-TERMS = _struct("search_id bigint, dir string, field string, op string, value string")
+SIDECARS = _struct(sidecar_path=_STRING, xmp=_STRING)
+PIXELS = _struct(path=_STRING, x=_INT, y=_INT, r=_INT, g=_INT, b=_INT)
+TERMS = _struct(search_id=_LONG, dir=_STRING, field=_STRING, op=_STRING, value=_STRING)
 MODEL = _struct(
-    "v int, trained bigint, log_rows bigint, learned array<bigint>, held bigint, sure bigint, "
-    "right bigint, middle array<double>, spread array<double>, weights array<array<double>>, "
-    "stars array<double>"
+    v=_INT, trained=_LONG, log_rows=_LONG, learned=T.ArrayType(_LONG), held=_LONG, sure=_LONG,
+    right=_LONG, middle=T.ArrayType(_DOUBLE), spread=T.ArrayType(_DOUBLE),
+    weights=T.ArrayType(T.ArrayType(_DOUBLE)), stars=T.ArrayType(_DOUBLE),
 )
