@@ -100,8 +100,8 @@ def sidecar_path(path: Column | str, naming: str = "darktable") -> Column:
 
 
 def clamp_rating(rating: Column | str) -> Column:
-    bounded = F.greatest(F.least(col(rating), F.lit(S.STARS)), F.lit(S.REJECT))
-    return F.coalesce(bounded, F.lit(S.UNDECIDED)).cast("int")
+    known = F.coalesce(col(rating), F.lit(S.UNDECIDED))
+    return F.greatest(F.least(known, F.lit(S.STARS)), F.lit(S.REJECT)).cast("int")
 
 
 def decision_kind(rating: Column | str) -> Column:

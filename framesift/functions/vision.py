@@ -130,4 +130,5 @@ def openness(lids_left: Column | str, lids_right: Column | str) -> Column:
     """0 (shut) to 1 from the two eyes' lid distances; a wink is half open."""
     both = (col(lids_left) + col(lids_right)) / 2.0
     share = (both - LIDS_SHUT) / (LIDS_OPEN - LIDS_SHUT)
-    return F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0))
+    # Not known stays not known, where the least of nothing would be 1.
+    return F.when(both.isNotNull(), F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0)))

@@ -31,15 +31,16 @@ def suppressed(faces: DataFrame, overlapping: float = SAME_FACE) -> DataFrame:
     fixed grid of places to find a face, so a frame's detections are few."""
     columns = [c for c in faces.columns if c not in ("path", "score")]
     # Surest first; of equals in the order of their boxes.
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_unsure"), *columns, "score")))
+    sorted_ = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_unsure"), *columns, "score")))
+    ordered = faces.groupBy("path").agg(sorted_.alias("_found"))
     kept = F.aggregate(
-        ordered,
-        F.filter(ordered, lambda _: F.lit(False)),
+        "_found",
+        F.filter("_found", lambda _: F.lit(False)),
         lambda kept, face: F.when(
             F.exists(kept, lambda k: vision.overlap(k["bounds"], face["bounds"]) >= overlapping), kept
         ).otherwise(F.concat(kept, F.array(face))),
     )
-    return faces.groupBy("path").agg(kept.alias("_kept")).select("path", F.inline("_kept")).select(faces.columns)
+    return ordered.select("path", F.inline(kept)).select(faces.columns)
 
 
 def eyelids(landmarks: DataFrame) -> DataFrame:
@@ -55,7 +56,9 @@ def eyelids(landmarks: DataFrame) -> DataFrame:
 
     def gap(eye: dict) -> Column:
         lids = [apart(*pair) for pair in eye["lids"]]
-        return (lids[0] + lids[1] + lids[2]) / 3.0 / F.greatest(apart(*eye["corners"]), F.lit(1e-6))
+        width = apart(*eye["corners"])
+        across = F.when(width.isNotNull(), F.greatest(width, F.lit(1e-6)))
+        return (lids[0] + lids[1] + lids[2]) / 3.0 / across
 
     return points.select("path", "face", vision.openness(*(gap(eye) for eye in vision.EYES)).alias("open"))
 

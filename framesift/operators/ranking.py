@@ -94,9 +94,10 @@ def _best(weighed: DataFrame, keys: list[str], layout: Layout) -> DataFrame:
     )
     rest = F.when(F.col("path") != F.col("winner"), F.col("score"))
     run = scale.attach(won, keys, {"_next": F.max(rest)}, layout)
-    lead = F.greatest(F.least(F.col("_top") - F.col("_next"), F.lit(1.0)), F.lit(0.0))
-    only = F.when(F.col("winner").isNotNull(), 1.0)
-    return run.withColumn("margin", F.coalesce(lead, only)).drop("_top", "_next")
+    # Alone it wins by 1.
+    lead = F.coalesce(F.col("_top") - F.col("_next"), F.lit(1.0))
+    margin = F.greatest(F.least(lead, F.lit(1.0)), F.lit(0.0))
+    return run.withColumn("margin", F.when(F.col("winner").isNotNull(), margin)).drop("_top", "_next")
 
 
 def winners(frames: DataFrame, group: str = "group", layout: Layout = SMALL) -> DataFrame:

@@ -250,7 +250,7 @@ DECISIONS_SQL = f"""{_EVENTS_SQL}, decisions AS (
     CASE WHEN k % 5 <> 0 AND k % 3 = 0 THEN k / 99 END AS open_share,
     k % 4 = 0 AS has_suggestion,
     CASE WHEN value > 250 THEN 1 ELSE -1 END AS suggested,
-    CASE WHEN k % 8 = 0 THEN 'model' ELSE 'signals' END AS by,
+    CASE WHEN k % 8 = 0 THEN 'model' ELSE 'signals' END AS "by",
     user_id
   FROM events_k
 )"""
@@ -258,12 +258,12 @@ DECISIONS_SQL = f"""{_EVENTS_SQL}, decisions AS (
 # The features of a row of the log, in order.
 FEATURES_SQL = {
     "focus": "ln(1 + greatest(focus, 0)) / ln(256)",
-    "focus_known": "CAST(focus IS NOT NULL AS INTEGER)",
+    "focus_known": "CAST(focus IS NOT NULL AS DOUBLE)",
     "eyes": "coalesce(ln(1 + greatest(eyes, 0)) / ln(256), 0)",
-    "eyes_known": "CAST(eyes IS NOT NULL AS INTEGER)",
+    "eyes_known": "CAST(eyes IS NOT NULL AS DOUBLE)",
     "open": "coalesce(open, 0)",
-    "open_known": "CAST(open IS NOT NULL AS INTEGER)",
-    "shut": "CASE WHEN open < 0.3 THEN 1 ELSE 0 END",
+    "open_known": "CAST(open IS NOT NULL AS DOUBLE)",
+    "shut": "CAST(coalesce(open < 0.3, false) AS DOUBLE)",
     "highlights": "sqrt(highlights)",
     "shadows": "sqrt(shadows)",
     "faces": "least(faces, 5) / 5",

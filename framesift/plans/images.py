@@ -193,15 +193,12 @@ def signatures(spark, sf):
       AND b.below >= s.share GROUP BY ALL""",
 )
 def tone_curves(spark, sf):
-    # Each channel is matched to another's levels; the levels that occur are
-    # what can be said in SQL of the curve.
+    # Each channel is matched to another's levels.
     table = A.pixels(spark, sf)
     developed = table.select("path", "x", "y", *((F.col(c) / 255).alias(c) for c in "rgb"))
     have = pixels.tone_counts(developed, pixels.sizes(table))
     want = pixels.histogram(table.select("path", "x", "y", F.col("g").alias("r"), F.col("b").alias("g"), F.col("r").alias("b")))
-    curves = pixels.tone_curves(have, want)
-    occurs = have.where(F.col("n") > 0).select("path", "channel", "level")
-    return curves.join(occurs, ["path", "channel", "level"])
+    return pixels.tone_curves(have, want)
 
 
 # -- faces ---------------------------------------------------------------------
@@ -247,15 +244,19 @@ def suppressed_faces(spark, sf):
     f"""WITH {A.DETECTIONS_SQL}, sized AS (
       SELECT path, greatest(r - l, 0) * greatest(b - t, 0) AS area, CASE WHEN i % 3 <> 0 THEN i % 10 / 10 END AS open,
         max(greatest(r - l, 0) * greatest(b - t, 0)) OVER (PARTITION BY path) AS largest
-      FROM (SELECT path, i, (cx - bw / 2) / 640 AS l, (cy - bh / 2) / 480 AS t, (cx + bw / 2) / 640 AS r, (cy + bh / 2) / 480 AS b
-        FROM (SELECT path, i, (i % across + parts[1]) * stride AS cx, (i // across + parts[2]) * stride AS cy,
+      FROM (SELECT path, i, (cx - bw / 2) / 640 AS l, (cy - bh / 2) / 480 AS t, (cx + bw / 2) / 640 + stride * stride / 1000000 AS r, (cy + bh / 2) / 480 AS b
+        FROM (SELECT path, i, stride, (i % across + parts[1]) * stride AS cx, (i // across + parts[2]) * stride AS cy,
           exp(parts[3]) * stride AS bw, exp(parts[4]) * stride AS bh FROM scored))
     ) SELECT path, count(*) AS faces, round(max(area), 7) AS face, min(open) FILTER (area >= largest * 0.25) AS open FROM sized GROUP BY path""",
 )
 def faces_per_frame(spark, sf):
     raw = A.detections(spark, sf)
     decoded = vision.decoded_face("stride", "i", "bbox", "kps", "w", "h")
-    found = raw.select("path", decoded["bounds"].alias("bounds"), F.when(F.col("i") % 3 != 0, F.col("i") % 10 / 10).alias("open"))
+    # A little wider, or sizes would be exact quarters of each other.
+    bounds = F.transform(
+        decoded["bounds"], lambda v, i: F.when(i == 2, v + F.col("stride") * F.col("stride") / 1e6).otherwise(v)
+    )
+    found = raw.select("path", bounds.alias("bounds"), F.when(F.col("i") % 3 != 0, F.col("i") % 10 / 10).alias("open"))
     return faces.per_frame(found).withColumn("face", F.round("face", 7))
 
 

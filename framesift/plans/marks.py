@@ -91,9 +91,9 @@ def compared_pairs(spark, sf):
 
 @query(
     "suggestion_outcomes",
-    f"""{LOG} SELECT by, count(*) AS answered, count(*) FILTER (rating = suggested) AS taken,
+    f"""{LOG} SELECT "by", count(*) AS answered, count(*) FILTER (rating = suggested) AS taken,
       count(*) FILTER (rating <> suggested) AS overridden
-    FROM decisions WHERE has_suggestion AND how IN ('mark', 'pass') GROUP BY by""",
+    FROM decisions WHERE has_suggestion AND how IN ('mark', 'pass') GROUP BY ALL""",
 )
 def suggestion_outcomes(spark, sf):
     return journal.outcomes(A.decisions(spark, sf))

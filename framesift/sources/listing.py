@@ -68,9 +68,8 @@ def listed_all(dirs: DataFrame) -> DataFrame:
     def entries(batches):
         import pyarrow as pa
 
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(LISTING, timezone="UTC")
+        types = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us", "UTC")]
+        arrow = pa.schema(list(zip(LISTING.names, types)))
         for batch in batches:
             for dir_ in batch.column(0).to_pylist():
                 rows = [dict(zip(LISTING.names, e)) for e in _entries(dir_.rstrip("/"))]
