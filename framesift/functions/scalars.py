@@ -50,19 +50,23 @@ def quantity(text: Column | str) -> Column:
 # -- names -------------------------------------------------------------------
 
 
+def _after_dot(name: Column) -> Column:
+    """How many characters follow the last dot of a name; null without one. A
+    leading dot doesn't count."""
+    after = F.length(F.substring_index(name, ".", -1))
+    return F.when(F.length(name) - after > 1, after)
+
+
 def extension(name: Column | str) -> Column:
-    """What follows the last dot, lower-cased; a leading dot doesn't count."""
-    found = F.regexp_extract(col(name), r"(?s)^.+\.([^.]*)$", 1)
-    return F.lower(F.nullif(found, F.lit("")))
+    """What follows the last dot, lower-cased."""
+    name = col(name)
+    return F.when(_after_dot(name).isNotNull(), F.lower(F.substring_index(name, ".", -1)))
 
 
 def kind(name: Column | str) -> Column:
     """``raw``, ``jpeg`` or ``png`` by extension, else null."""
-    ext = extension(name)
-    chosen = F.lit(None).cast("string")
-    for which, extensions in S.KINDS.items():
-        chosen = F.when(ext.isin(*extensions), which).otherwise(chosen)
-    return chosen
+    kinds = [F.lit(text) for which, exts in S.KINDS.items() for ext in exts for text in (ext, which)]
+    return F.try_element_at(F.create_map(*kinds), extension(name))
 
 
 def hidden(name: Column | str) -> Column:
@@ -75,12 +79,13 @@ def base_name(path: Column | str) -> Column:
 
 def parent(path: Column | str) -> Column:
     path = col(path)
-    return F.regexp_replace(path, r"(?s)/[^/]*$", "")
+    return F.substr(path, F.lit(1), F.length(path) - F.length(base_name(path)) - 1)
 
 
 def stem(name: Column | str) -> Column:
     """A file's name without its extension."""
-    return F.regexp_replace(col(name), r"(?s)(?<=.)\.[^.]*$", "")
+    name = col(name)
+    return F.coalesce(F.substr(name, F.lit(1), F.length(name) - _after_dot(name) - 1), name)
 
 
 def sidecar_path(path: Column | str, naming: str = "darktable") -> Column:
@@ -92,8 +97,10 @@ def sidecar_path(path: Column | str, naming: str = "darktable") -> Column:
         return appended
     if naming != "adobe":
         raise ValueError(f"no sidecar naming called {naming!r}")
-    replaced = F.concat(F.regexp_replace(path, r"(?s)(?<=[^/])\.[^./]*$", ""), F.lit(".xmp"))
-    return F.when(kind(base_name(path)).isin("jpeg", "png"), appended).otherwise(replaced)
+    name = base_name(path)
+    cut = F.substr(path, F.lit(1), F.length(path) - _after_dot(name) - 1)
+    replaced = F.concat(F.coalesce(cut, path), F.lit(".xmp"))
+    return F.when(kind(name).isin("jpeg", "png"), appended).otherwise(replaced)
 
 
 # -- marks -------------------------------------------------------------------
@@ -120,6 +127,18 @@ def exif_seconds(captured: Column | str) -> Column:
     """``yyyy:MM:dd HH:mm:ss[.fff]`` in seconds since 1970, for gaps between
     frames. Months, days and hours out of range run over into the next."""
     captured = col(captured)
+
+    def part(at: int, length: int) -> Column:
+        return F.substr(captured, F.lit(at), F.lit(length))
+
+    date = F.replace(part(1, 10), F.lit(":"), F.lit("-")).try_cast("date")
+    clock = part(12, 2).try_cast("int") * 3600.0 + part(15, 2).try_cast("int") * 60.0
+    usual = F.unix_date(date) * 86400.0 + clock + part(18, 20).try_cast("double")
+    as_usual = captured.rlike(r"^[0-9]{4}:[0-9]{2}:[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,17})?$")
+    return F.coalesce(F.when(as_usual, usual), _unusual_seconds(captured))
+
+
+def _unusual_seconds(captured: Column) -> Column:
     space = F.instr(captured, " ")
     date = F.split(F.substr(captured, F.lit(1), space - 1), ":")
     clock = F.split(F.substr(captured, space + 1), ":")
@@ -202,12 +221,13 @@ def adobe_rgb(color_space: Column | str, interop: Column | str) -> Column:
 
 def fnv(text: Column | str) -> Column:
     """64-bit FNV-1a of text's UTF-8, as ``struct<hi,lo>`` of 32 bits each."""
-    data = F.encode(col(text), "UTF-8")
+    # A character a byte, and each by itself.
+    bytes_ = F.split(F.decode(F.encode(col(text), "UTF-8"), "ISO-8859-1"), "")
     start = F.struct(*(F.lit(v).cast("bigint").alias(n) for n, v in zip(("hi", "lo"), _FNV_START)))
 
-    def step(state: Column, i: Column) -> Column:
-        byte = F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("bigint")
-        mixed = state["lo"].bitwiseXOR(byte)
+    def step(state: Column, byte: Column) -> Column:
+        # A struct of the two halves, carried over where the low one is full.
+        mixed = state["lo"].bitwiseXOR(F.ascii(byte).cast("bigint"))
         low = mixed * _FNV_PRIME_LOW
         high = (
             state["hi"] * _FNV_PRIME_LOW
@@ -216,8 +236,7 @@ def fnv(text: Column | str) -> Column:
         )
         return F.struct(high.bitwiseAND(_LOW).alias("hi"), low.bitwiseAND(_LOW).alias("lo"))
 
-    places = F.sequence(F.lit(1), F.length(data))
-    return F.when(F.length(data) == 0, start).otherwise(F.aggregate(places, start, step))
+    return F.aggregate(F.filter(bytes_, lambda byte: byte != ""), start, step)
 
 
 def fnv_hex(key: Column | str) -> Column:

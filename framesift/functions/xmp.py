@@ -44,35 +44,54 @@ def _whole(value: Column) -> Column:
     return F.when(digits.rlike(r"^[+-]?[0-9]+$"), digits.try_cast("int"))
 
 
-def _any_of(prefixes: Column) -> Column:
-    return F.concat(F.lit("(?:"), F.array_join(prefixes, "|"), F.lit(")"))
-
-
-def _found(text: Column) -> Column:
-    """What the patterns find in ``struct<seen, rdf, ours>``: where the first
-    description's name ends, and each spelling of the rating, as what comes
-    before it and its value."""
-    seen, rdf, ours = text["seen"], _any_of(text["rdf"]), _any_of(text["ours"])
+def _patterns(rdf: Column, ours: Column) -> tuple[Column, Column, Column]:
+    """Where a description's name ends, and both spellings of the rating."""
     tag = F.concat(F.lit("(?s)^(.*?<"), rdf, F.lit(r":Description)(?=[\s/>])"))
     attribute = F.concat(
         F.lit("(?s)^(.*?<"), rdf, F.lit(":Description" + _ATTRIBUTES + r"\s+"), ours,
         F.lit(r""":Rating\s*=\s*["'])([^"']*)["']"""),
     )
     element = F.concat(F.lit("(?s)^(.*?<"), ours, F.lit(r":Rating(?:\s[^>]*)?/?>)([^<]*)"))
+    return tag, attribute, element
+
+
+# The prefixes nearly every writer uses. Their patterns are constants, and so
+# compiled once.
+_USUAL = (("rdf", "xmp"), ("rdf", "xap"))
+
+
+def _found(text: Column) -> Column:
+    """What the patterns find in ``struct<seen, rdf, ours>``."""
+
+    def any_of(prefixes: Column) -> Column:
+        return F.concat(F.lit("(?:"), F.array_join(prefixes, "|"), F.lit(")"))
+
+    found = _found_by(text, *_patterns(any_of(text["rdf"]), any_of(text["ours"])))
+    for rdf, ours in _USUAL:
+        bound = (text["rdf"] == F.array(F.lit(rdf))) & (text["ours"] == F.array(F.lit(ours)))
+        found = F.when(bound, _found_by(text, *_patterns(F.lit(rdf), F.lit(ours)))).otherwise(found)
+    return found
+
+
+def _found_by(text: Column, tag: Column, attribute: Column, element: Column) -> Column:
+    """Where the first description's name ends, and each spelling of the
+    rating, as what comes before it and its value."""
+    seen = text["seen"]
 
     def group(pattern: Column, n: int) -> Column:
         return F.call_function("regexp_extract", seen, pattern, F.lit(n))
 
     # A prefix that isn't bound would match anything.
     has_rdf, has_ours = F.size(text["rdf"]) > 0, F.size(text["ours"]) > 0
+    in_element = has_ours & seen.contains(":Rating")
     return F.struct(
         F.when(has_rdf, F.nullif(F.length(group(tag, 1)), F.lit(0))).alias("described"),
-        F.when(has_rdf & has_ours, F.nullif(F.length(group(attribute, 1)), F.lit(0))).alias("in_tag"),
-        F.when(has_rdf & has_ours, group(attribute, 2)).alias("tag_value"),
-        F.when(has_ours, F.nullif(F.length(group(element, 1)), F.lit(0))).alias("in_text"),
-        F.when(has_ours, group(element, 2)).alias("text_value"),
+        F.when(has_rdf & in_element, F.nullif(F.length(group(attribute, 1)), F.lit(0))).alias("in_tag"),
+        F.when(has_rdf & in_element, group(attribute, 2)).alias("tag_value"),
+        F.when(in_element, F.nullif(F.length(group(element, 1)), F.lit(0))).alias("in_text"),
+        F.when(in_element, group(element, 2)).alias("text_value"),
         # <xmp:Rating/> is found as an element that ends at once.
-        F.when(has_ours, group(element, 1).endswith("/>")).alias("empty"),
+        F.when(in_element, group(element, 1).endswith("/>")).alias("empty"),
         F.array_contains(text["ours"], "xmp").alias("declared"),
         (seen.rlike(r"xmlns:xmp\s*=") & ~F.array_contains(text["ours"], "xmp")).alias("taken"),
     )
@@ -128,32 +147,38 @@ def place(xmp: Column | str) -> Column:
     return bind(bind(bind(bind(_seen(col(xmp)), bound), _found), _placed), _judged)
 
 
+def rating_at(found: Column | str) -> Column:
+    """The rating at a :func:`place`, ``struct<rating, problem>``: rating is
+    null where there's none or it can't be read, and problem says which."""
+    found = col(found)
+    value = F.when(found["problem"].isNull(), _whole(found["value"]))
+    return F.struct(value.alias("rating"), found["problem"].alias("problem"))
+
+
 def rating(xmp: Column | str) -> Column:
-    """``struct<rating, problem>``: rating is null where there's none or it
-    can't be read, and problem says which."""
+    return bind(place(xmp), rating_at)
 
-    def read(found: Column) -> Column:
-        value = F.when(found["problem"].isNull(), _whole(found["value"]))
-        return F.struct(value.alias("rating"), found["problem"].alias("problem"))
 
-    return bind(place(xmp), read)
+def changes(found: Column | str, mark: Column | str) -> Column:
+    """Whether writing a mark at a :func:`place` makes another text."""
+    return ~col(found)["value"].eqNullSafe(col(mark).cast("string"))
 
 
-def with_rating(xmp: Column | str, mark: Column | str) -> Column:
+def with_rating_at(xmp: Column | str, found: Column | str, mark: Column | str) -> Column:
     """The text with its rating changed and everything else as it was; null
     where there's no telling where it goes. A value that isn't a number can
     still be replaced."""
-    xmp, mark = col(xmp), col(mark).cast("string")
+    xmp, found, mark = col(xmp), col(found), col(mark).cast("string")
+    declaration = F.when(found["declared"], "").otherwise(f' xmlns:xmp="{XMP_NAMESPACE}"')
+    added = F.concat(declaration, F.lit(' xmp:Rating="'), mark, F.lit('"'))
+    new = F.when(found["value"].isNull(), added).otherwise(mark)
+    head = F.substr(xmp, F.lit(1), found["at"] - 1)
+    tail = F.substr(xmp, found["at"] + found["length"])
+    return F.when(found["writable"], F.concat(head, new, tail))
 
-    def changed(found: Column) -> Column:
-        declaration = F.when(found["declared"], "").otherwise(f' xmlns:xmp="{XMP_NAMESPACE}"')
-        added = F.concat(declaration, F.lit(' xmp:Rating="'), mark, F.lit('"'))
-        new = F.when(found["value"].isNull(), added).otherwise(mark)
-        head = F.substr(xmp, F.lit(1), found["at"] - 1)
-        tail = F.substr(xmp, found["at"] + found["length"])
-        return F.when(found["writable"], F.concat(head, new, tail))
 
-    return bind(place(xmp), changed)
+def with_rating(xmp: Column | str, mark: Column | str) -> Column:
+    return bind(place(xmp), lambda found: with_rating_at(xmp, found, mark))
 
 
 def fresh(mark: Column | str) -> Column:

@@ -95,19 +95,18 @@ def write_back(marks: DataFrame, sidecars: DataFrame, naming: str = "darktable")
     one, unless its mark is 0. Where ``problem`` is set nothing can be written.
     """
     beside = marks.withColumn("sidecar_path", scalars.sidecar_path("path", naming))
-    joined = scale.lookup(
-        beside, sidecars.select("sidecar_path", F.col("xmp").alias("_old")), ["sidecar_path"], ["path"]
-    )
+    # Placed before they're joined: once a text, whatever is asked of it after.
+    old = sidecars.select("sidecar_path", F.col("xmp").alias("_old"), xmp.place("xmp").alias("_place"))
+    joined = scale.lookup(beside, old, ["sidecar_path"], ["path"])
+    there = F.col("_old").isNotNull()
     bad = ~F.col("rating").between(S.REJECT, S.STARS)
-    changed = xmp.with_rating("_old", "rating")
-    new = F.when(F.col("_old").isNotNull(), changed).when(F.col("rating") != S.UNDECIDED, xmp.fresh("rating"))
-    # What can't be placed says why.
-    unplaced = F.col("_old").isNotNull() & changed.isNull()
-    problem = F.when(bad, "rating must be -1 to 5").when(unplaced, xmp.place("_old")["problem"])
-    return (
-        joined.select("sidecar_path", "path", "_old", problem.alias("problem"), F.when(~bad, new).alias("xmp"))
-        .where(F.col("problem").isNotNull() | ~F.col("xmp").eqNullSafe(F.col("_old")))
-        .drop("_old")
+    problem = F.when(bad, "rating must be -1 to 5").when(
+        there & ~F.col("_place.writable"), F.col("_place.problem")
+    )
+    new = F.when(there, xmp.with_rating_at("_old", "_place", "rating")).otherwise(xmp.fresh("rating"))
+    writes = F.when(there, xmp.changes("_place", "rating")).otherwise(F.col("rating") != S.UNDECIDED)
+    return joined.where(problem.isNotNull() | writes).select(
+        "sidecar_path", "path", F.when(~bad, new).alias("xmp"), problem.alias("problem")
     )
 
 

@@ -8,13 +8,19 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# What a local session uses where no folder is named, by application.
+_OWN: dict[str, str] = {}
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder's path under the one the cluster names in
     ``spark.checkpoint.dir``. Only a local session may do without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        root = _OWN[context.applicationId]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
