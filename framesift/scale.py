@@ -7,6 +7,10 @@ task?"; the operators ask it for group aggregates (:func:`attach`), for values
 carried along an ordering (:func:`carry`) and for many-to-one joins
 (:func:`lookup`), and get the window plan when no group is hot, or a plan that
 cuts hot groups into bounded pieces when one is. Results are the same.
+
+Cutting reads its rows more than once, so they are written to the shared folder
+first: plans stay small however many of these follow one another, and a lost
+executor costs its own tasks only.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framesift.sources import shared
+
 # The most rows of one key that go to one task.
 HOT_ROWS = 2_000_000
 # Hot keys are cut about this many times finer than the limit asks, since the
@@ -43,6 +49,14 @@ class Layout:
 SMALL = Layout()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, with no plan behind them."""
+    spark = df.sparkSession
+    path = shared.folder(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join on keys that may be null; the right side's copies are dropped."""
     renamed = right
@@ -73,6 +87,12 @@ def lookup(
     """
     if not layout.split:
         return _on(rows, table, keys, how)
+    return _dealt(settled(rows), table, keys, by, layout, how)
+
+
+def _dealt(
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], by: Sequence[str], layout: Layout, how: str
+) -> DataFrame:
     # Bounded by total/rows, hence the hint.
     pieces = _hot(rows, keys, layout.rows).select(
         *keys, F.ceil(F.col("_n") / layout.rows).cast("int").alias("_pieces")
@@ -98,8 +118,9 @@ def attach(
     if not layout.split:
         w = Window.partitionBy(*keys)
         return df.withColumns({name: agg.over(w) for name, agg in aggregates.items()})
+    df = settled(df)
     groups = df.groupBy(*keys).agg(*(agg.alias(name) for name, agg in aggregates.items()))
-    return lookup(df, groups, keys, by, layout)
+    return _dealt(df, groups, keys, by, layout, "left")
 
 
 def blocks(df: DataFrame, keys: Sequence[str], order: str, layout: Layout) -> DataFrame:
@@ -151,7 +172,7 @@ def carry(
         w = Window.partitionBy(*keys).orderBy(direction(order))
         w = w.rowsBetween(Window.unboundedPreceding, to)
         return df.withColumns({name: F.last(v, ignorenulls=True).over(w) for name, v in values.items()})
-    cut = blocks(df.withColumns({f"_v_{name}": v for name, v in values.items()}), keys, order, layout)
+    cut = blocks(settled(df.withColumns({f"_v_{name}": v for name, v in values.items()})), keys, order, layout)
     inner = Window.partitionBy(*keys, "_block").orderBy(direction(order))
     inner = inner.rowsBetween(Window.unboundedPreceding, to)
     # What each block ends with, carried over the blocks before: one row a block.
