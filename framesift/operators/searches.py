@@ -36,11 +36,10 @@ def readable(terms: DataFrame) -> DataFrame:
 def matches(frames: DataFrame, terms: DataFrame, layout: Layout = SMALL) -> DataFrame:
     """The frames each folder's saved searches let through, as ``(search_id,
     dir, path)``: every term of the search must match."""
-    # One row a folder, so that the join keeps one row a frame.
-    saved = readable(terms).groupBy("dir").agg(F.collect_list(F.struct("search_id", "terms")).alias("_saved"))
-    joined = scale.lookup(frames, saved, ["dir"], ["path"], layout, how="inner")
-    hits = F.filter("_saved", lambda s: F.forall(s["terms"], predicates.test_term))
-    return joined.select("dir", "path", F.explode(F.transform(hits, lambda s: s["search_id"])).alias("search_id"))
+    # Tested as they're joined: what doesn't match goes no further.
+    joined = scale.lookup(frames, readable(terms), ["dir"], ["path"], layout, how="inner")
+    hit = F.forall("terms", predicates.test_term)
+    return joined.where(hit).select("search_id", "dir", "path")
 
 
 def hand_off(frames: DataFrame, condition) -> DataFrame:

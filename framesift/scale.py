@@ -80,10 +80,10 @@ def lookup(
     layout: Layout = SMALL,
     how: str = "left",
 ) -> DataFrame:
-    """Join rows to a table with one row a key.
+    """Join rows to a table with one row a key, or few.
 
-    Rows of a hot key are dealt over several tasks by a hash of ``by``, and the
-    table's row for that key (only) is repeated for each.
+    Rows of a hot key are dealt over several tasks by a hash of ``by``, and what
+    the table has for that key (only) is repeated for each.
     """
     if not layout.split:
         return _on(rows, table, keys, how)
