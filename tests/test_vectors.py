@@ -390,19 +390,10 @@ def picture(spark, w, h, paint, path="p"):
 
 
 def stripes(soft):
-    def paint(x, _):
-        across = x % 8
-
-        def ramp(start):
-            return (across - start + 1) * 200 // (soft + 1)
-
-        if across < soft:
-            return 228 - ramp(0)
-        if across < 4:
-            return 28
-        return 28 + ramp(4) if across < 4 + soft else 228
-
-    return paint
+    """Bars four pixels wide, averaged over ``soft`` more."""
+    bars = [28] * 4 + [228] * 4
+    spread = [sum(bars[(x + i) % 8] for i in range(soft + 1)) // (soft + 1) for x in range(8)]
+    return lambda x, _: spread[x % 8]
 
 
 def sobel(paint, w, h):
