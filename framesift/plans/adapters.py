@@ -413,4 +413,11 @@ DETECTIONS_SQL = """detections AS (
 
 
 def scratch(spark: SparkSession, name: str) -> str:
+    """A new shared folder, for Spark to write to."""
     return shared.folder(spark, name)
+
+
+def mounted(spark: SparkSession, name: str) -> str:
+    """A new shared folder for tasks to write single files to: the shared
+    folder must be mounted on every machine."""
+    return shared.folder(spark, name).removeprefix("file://").removeprefix("file:")

@@ -209,7 +209,7 @@ def opened_folders(spark, sf):
     """Pictures and sidecars written, then their folders listed and read."""
     from framesift.functions import xmp
 
-    root = A.scratch(spark, "shoot")
+    root = A.mounted(spark, "shoot")
     customers = _customers(spark, sf)
     path = F.concat(F.lit(f"{root}/"), "folder", F.lit("/"), "name")
     files = customers.select(
@@ -244,7 +244,7 @@ def _png(rows: list[bytes], width: int) -> bytes:
 @query("picture_pixels", f"WITH {A.PIXELS_SQL} SELECT path, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, r, g, b FROM pixels")
 def picture_pixels(spark, sf):
     """The small pictures written as PNGs, and decoded again."""
-    root = A.scratch(spark, "pictures")
+    root = A.mounted(spark, "pictures")
     whole = A.pixels(spark, sf).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b"))).alias("cells"))
 
     def write(batches):
@@ -271,7 +271,7 @@ def picture_pixels(spark, sf):
     FROM customer WHERE c_custkey % 3 <> 2 AND c_custkey % 10 > 1 GROUP BY ALL""",
 )
 def arriving_pictures(spark, sf):
-    root = A.scratch(spark, "arriving")
+    root = A.mounted(spark, "arriving")
     path = F.concat(F.lit(f"{root}/"), "folder", F.lit("/"), "name")
     files = _customers(spark, sf).select(path.alias("path"), F.encode(F.lit("x"), "UTF-8").alias("data"))
     files.mapInArrow(_write_files, "n long").agg(F.sum("n")).collect()
