@@ -62,7 +62,7 @@ def standings(frames: DataFrame, group: str = "group", layout: Layout = SMALL) -
     return weighed.withColumn("standing", F.when(F.col("_in"), standing)).drop("_in", "_of", "_sharp", "_open")
 
 
-def alone(frames: DataFrame) -> Column:
+def alone() -> Column:
     """The standing of a frame that was in no group."""
     return F.struct(
         F.lit(1).cast("bigint").alias("of"),
@@ -77,7 +77,7 @@ def evidence(frames: DataFrame, layout: Layout = SMALL) -> DataFrame:
     grouped = frames.withColumn("group", F.coalesce("stack", "burst", "path"))
     stood = standings(grouped, "group", layout)
     lone = F.coalesce(F.col("stack"), F.col("burst")).isNull()
-    standing = F.when(lone & F.col("signals").isNotNull(), alone(frames)).otherwise(F.col("standing"))
+    standing = F.when(lone & F.col("signals").isNotNull(), alone()).otherwise(F.col("standing"))
     return stood.withColumn("standing", standing).drop("group")
 
 
