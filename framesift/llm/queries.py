@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import rules
+from framesift.llm import mixing, rules, urls
 from framesift.llm.registry import query
 
 
@@ -47,3 +47,63 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents judged by their words and by their source's rate of failures."""
     return rules.judged(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+
+@query("op7_url_filters", """
+WITH rules (h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+  ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+cut AS (SELECT row_number() OVER () AS k, page_id, strpos(url, '://') AS s, url FROM pages),
+parts AS (
+  SELECT k, page_id, CASE WHEN s > 0 THEN regexp_extract(substr(url, s + 3), '^[^/?#]*') ELSE '' END AS raw,
+    CASE WHEN s > 0 THEN regexp_extract(substr(url, s + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM cut),
+named AS (SELECT k, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM parts),
+best AS (
+  SELECT k, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+  FROM named JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY k)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM named LEFT JOIN best USING (k)
+""")
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' URLs under five rules."""
+    listed = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judged(table(spark, sf_dir, "pages"), listed)
+
+
+@query("op5_mixing", """
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda w: w <> ''))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS hash
+  FROM documents),
+sources AS (
+  SELECT source, n, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w
+  FROM (SELECT source, sum(size)::BIGINT AS n FROM sized GROUP BY source)),
+levels (k, level) AS (
+  SELECT 1, (SELECT sum(n)::DOUBLE * 150 / 100 / sum(w) FROM sources)
+  UNION ALL
+  SELECT k + 1, (SELECT ((SELECT sum(n)::DOUBLE * 150 / 100 FROM sources) - coalesce(sum(2 * n) FILTER (2.0::DOUBLE * n <= w * level), 0)::DOUBLE)
+    / nullif(sum(w) FILTER (2.0::DOUBLE * n > w * level), 0)::DOUBLE FROM sources)
+  FROM levels WHERE k < 100 AND level IS NOT NULL),
+top AS (SELECT max(level) AS level FROM levels),
+rates AS (
+  SELECT source, n, least((2 * n)::DOUBLE, w * level) AS target,
+    CASE WHEN n > 0 THEN least((2 * n)::DOUBLE, w * level) / n ELSE 0 END AS rate
+  FROM sources CROSS JOIN top),
+parts AS (SELECT *, floor(rate)::BIGINT AS whole, floor((rate - floor(rate)) * 4294967296)::BIGINT AS part FROM rates),
+drawn AS (
+  SELECT s.doc_id, s.source, size, n, target, whole, seed, whole + ((hash + seed * 2654435769) % 4294967296 < part)::BIGINT AS copies
+  FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source CROSS JOIN (SELECT unnest(range(32)) AS seed)),
+seeds AS (
+  SELECT source, arg_min(seed, (away, seed)) AS seed
+  FROM (SELECT source, seed, abs(sum(copies * size) - any_value(target)) AS away FROM drawn GROUP BY source, seed) GROUP BY source)
+SELECT doc_id, size, n AS source_size, target, (copies * size)::BIGINT AS taken
+FROM drawn JOIN seeds ON drawn.source IS NOT DISTINCT FROM seeds.source AND drawn.seed = seeds.seed
+""")
+def mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents taken so that sources come near their targets."""
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
