@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import mixing, rules, urls
+from framesift.llm import bpe, mixing, rules, urls
 from framesift.llm.registry import query
 
 
@@ -107,3 +108,12 @@ FROM drawn JOIN seeds ON drawn.source IS NOT DISTINCT FROM seeds.source AND draw
 def mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents taken so that sources come near their targets."""
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_byte_bpe")
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' tokens by byte-level BPE, and the bytes these stand for."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = bpe.encoded(table(spark, sf_dir, "documents"), path, pattern)
+    return bpe.decoded(ids, path, pattern).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
