@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import bpe, mixing, rules, urls
+from framesift.llm import bpe, convnet, mixing, rules, urls
 from framesift.llm.registry import query
 
 
@@ -117,3 +117,17 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encoded(table(spark, sf_dir, "documents"), path, pattern)
     return bpe.decoded(ids, path, pattern).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op3_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents scored by a network learned from the labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    net = convnet.learned(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return convnet.scored(docs, net).select(
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
