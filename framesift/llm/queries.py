@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import bpe, convnet, mixing, rules, urls
+from framesift.llm import bpe, convnet, mixing, rules, urls, warc
 from framesift.llm.registry import query
+from framesift.llm.shared import settled
+from framesift.sources.shared import folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,3 +133,21 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+@query("op6_warc", """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS p, sha1(coalesce(html, '')) AS hex FROM pages),
+kept AS (SELECT p, max(page_id) AS last FROM payloads GROUP BY p)
+SELECT page_id, octet_length(encode(p))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM payloads JOIN kept USING (p)
+""")
+def web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to an archive and read back from it."""
+    path = folder(spark, "archive")
+    warc.written(table(spark, sf_dir, "pages"), path)
+    found = settled(warc.read(spark, path).drop("payload"), "archived")
+    return warc.resolved(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
