@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import bpe, convnet, mixing, rules, urls, warc
+from framesift.llm import bpe, convnet, jaccard, mixing, rules, urls, warc
 from framesift.llm.registry import query
 from framesift.llm.shared import settled
 from framesift.sources.shared import folder
@@ -151,3 +151,27 @@ def web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.written(table(spark, sf_dir, "pages"), path)
     found = settled(warc.read(spark, path).drop("payload"), "archived")
     return warc.resolved(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_ngram_jaccard", """
+WITH RECURSIVE listed AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[ \\t-\\r]+'), lambda w: w <> '') AS ws
+  FROM documents),
+shingled AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS s
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM listed WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+  FROM shingled x JOIN shingled y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+  WHERE 100 * common >= 75 * (x.n + y.n - common)),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) ON doc_id = a
+""")
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents joined by their shingles' similarity."""
+    return jaccard.joined(table(spark, sf_dir, "documents"))
