@@ -48,7 +48,13 @@ class Vocabulary:
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
         self.together: dict[int, bool] = {}
-        self.cut: dict[int, int] = {}
+        self.sizes = [0] * (max(self.tokens) + 1)
+        # The longest token that a token starts with, itself apart; -1 if none.
+        self.shorter = [-1] * len(self.sizes)
+        for text, rank in self.ranks.items():
+            self.sizes[rank] = len(text)
+            self.shorter[rank] = next(
+                (self.ranks[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in self.ranks), -1)
 
     def merged(self, text: str) -> list[int]:
         """A few bytes merged step by step, the lowest rank first."""
@@ -61,47 +67,39 @@ class Vocabulary:
         return [self.ranks[part] for part in parts]
 
     def goes(self, before: int, token: int) -> bool:
-        """Whether a token may follow another (-1: none, at the start)."""
-        pair = (before << 32) + token
-        known = self.together.get(pair)
-        if known is None:
-            if len(self.together) >= PAIRS:
-                self.together.clear()
-            both = [token] if before < 0 else [before, token]
-            known = self.merged("".join(self.tokens[t] for t in both)) == both
-            self.together[pair] = known
+        """Whether a token may follow another (-1: none, at the start); remembered."""
+        if len(self.together) >= PAIRS:
+            self.together.clear()
+        both = [token] if before < 0 else [before, token]
+        known = self.merged("".join(self.tokens[t] for t in both)) == both
+        self.together[(before << 32) + token] = known
         return known
 
-    def shorter(self, token: int) -> int:
-        """The longest token that a token starts with, itself apart; -1 if none."""
-        found = self.cut.get(token)
-        if found is None:
-            text = self.tokens[token]
-            found = next((self.ranks[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in self.ranks), -1)
-            self.cut[token] = found
-        return found
-
     def backtracked(self, text: str) -> list[int]:
-        longest = [-1] * len(text)
+        together, sizes, shorter = self.together.get, self.sizes, self.shorter
+        longest = [-1] * (len(text) + 1)
         for end, (rank, length) in self.found.iter(text):
             longest[end - length + 1] = rank  # longer ones end later
         open_ = bytearray(b"\x01") * (len(text) + 1)
         taken: list[int] = []
-        place, token = 0, longest[0]
+        place, token, before = 0, longest[0], -1
         while place < len(text):
-            before = taken[-1] if taken else -1
+            pair = before << 32
             while token >= 0:
-                end = place + len(self.tokens[token])
-                if open_[end] and self.goes(before, token):
-                    taken.append(token)
-                    place = end
-                    token = longest[place] if place < len(text) else -1
-                    break
-                token = self.shorter(token)
+                end = place + sizes[token]
+                if open_[end]:
+                    goes = together(pair + token)
+                    if goes or goes is None and self.goes(before, token):
+                        break
+                token = shorter[token]
+            if token >= 0:
+                taken.append(token)
+                place, before, token = end, token, longest[end]
             else:
                 open_[place] = 0
                 token = taken.pop()
-                place -= len(self.tokens[token])
+                place -= sizes[token]
+                before = taken[-1] if taken else -1
         return taken
 
     def packed(self, piece: str) -> bytes:
