@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import bpe, convnet, jaccard, mixing, rules, urls, warc
+from framesift.llm import bpe, convnet, jaccard, mixing, rules, urls, warc, wrappers
 from framesift.llm.registry import query
 from framesift.llm.shared import settled
 from framesift.sources.shared import folder
@@ -175,3 +175,9 @@ FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS componen
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents joined by their shingles' similarity."""
     return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
+@query("op2_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' main texts."""
+    return wrappers.extracted(table(spark, sf_dir, "pages"))
