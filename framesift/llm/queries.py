@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import bpe, convnet, jaccard, mixing, rules, urls, warc, wrappers
+from framesift.llm import bpe, convnet, jaccard, mixing, rules, topk, urls, warc, wrappers
 from framesift.llm.registry import query
 from framesift.llm.shared import settled
 from framesift.sources.shared import folder
@@ -181,3 +181,20 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages' main texts."""
     return wrappers.extracted(table(spark, sf_dir, "pages"))
+
+
+@query("op8_exact_top_k", """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT * FROM (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM scored)
+WHERE rank <= 10
+""")
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors with the highest products for every hundredth vector."""
+    return topk.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
