@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import bpe, convnet, jaccard, mixing, rules, topk, urls, warc, wrappers
+from framesift.llm import bpe, convnet, idfiles, jaccard, mixing, rules, topk, urls, warc, wrappers
 from framesift.llm.registry import query
 from framesift.llm.shared import settled
 from framesift.sources.shared import folder
@@ -198,3 +198,14 @@ WHERE rank <= 10
 def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten vectors with the highest products for every hundredth vector."""
     return topk.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op9_token_files")
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' token ids written to files and read back from them."""
+    path = folder(spark, "ids")
+    idfiles.written(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 1)
+    rows = idfiles.read(spark, path).select(
+        "part", "seq", "at", "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"))
+    return idfiles.started(settled(rows, "starts")).select("doc_id", "start", "n_tokens", "ids_crc32")
