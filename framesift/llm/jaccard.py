@@ -31,6 +31,8 @@ from framesift.llm.shingles import mixed, shingles
 
 U = np.uint64
 SKETCH = 8  # words of 64 bits in the dense sketch
+# Sets of more shingles have one of so many words besides, which folds to the short one.
+WIDE, LARGE = 64, 512
 BAND = 16  # sizes in a band differ by less than this factor
 # Keys a task holds before it sends them on.
 HELD = 1 << 20
@@ -39,13 +41,11 @@ HELD = 1 << 20
 @dataclass(frozen=True)
 class Alike:
     """Texts link where 100 * |A and B| >= ``percent`` * |A or B|, over
-    shingles of ``words`` words. Shingles are counted in ``slots`` counters;
-    ``rounds`` rounds of stars come before all remaining pairs."""
+    shingles of ``words`` words. Shingles are counted in ``slots`` counters."""
 
     words: int = 5
     percent: int = 75
     slots: int = 1 << 20
-    rounds: int = 4
 
 
 def most_apart(sizes: int, percent: int) -> int:
@@ -94,19 +94,21 @@ def keys(found: np.ndarray, levels: np.ndarray, alike: Alike) -> np.ndarray:
 
 
 def described(docs: DataFrame, alike: Alike, doc_id: str, text: str) -> DataFrame:
-    """A row per document: ``doc_id, n, node, s0..`` (its set's size, number
-    and dense sketch), and rows ``slot, count`` of what each task counted."""
+    """A row per document: ``doc_id, n, node, s0.., wide`` (its set's size, number
+    and dense sketches), and rows ``slot, count`` of what each task counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, total = np.zeros(alike.slots, np.int64), 0
         for piece in pieces(batches, "text"):
-            n, nodes, sketches, slots = [], [], [], []
+            n, nodes, sketches, wide, slots = [], [], [], [], []
             for t in piece.column("text").cast(pa.binary()).to_pylist():
                 found = shingles(t or b"", alike.words)
                 n.append(len(found))
                 nodes.append(digest(found) if len(found) else None)
-                bits = np.bincount((found >> U(7)).astype(np.intp) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
-                sketches.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+                bits = np.bincount((found >> U(7)).astype(np.intp) & (64 * WIDE - 1), minlength=64 * WIDE) & 1
+                sketch = np.packbits(bits.astype(np.uint8)).view(np.int64)
+                sketches.append(np.bitwise_xor.reduce(sketch.reshape(-1, SKETCH), 0))
+                wide.append(sketch if len(found) > LARGE else None)
                 slots.append((found & U(alike.slots - 1)).astype(np.intp))
             slots = np.concatenate(slots)
             total += len(slots)
@@ -115,17 +117,17 @@ def described(docs: DataFrame, alike: Alike, doc_id: str, text: str) -> DataFram
             nothing = pa.nulls(len(n), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()),
-                 *[pa.array(columns[:, k]) for k in range(SKETCH)], nothing, nothing], names)
+                 *[pa.array(columns[:, k]) for k in range(SKETCH)], pa.array(wide, pa.list_(pa.int64())), nothing, nothing], names)
         # Slots that stand out here; the others are what rare shingles make.
         often = np.flatnonzero(counts >= max(6, 8 * total / alike.slots))
         nothing = pa.nulls(len(often), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(often), kind), nothing, nothing, *[nothing] * SKETCH, pa.array(often), pa.array(counts[often])], names)
+            [nothing, nothing, nothing, *[nothing] * SKETCH, pa.nulls(len(often), pa.list_(pa.int64())),
+             pa.array(often), pa.array(counts[often])], names)
 
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = pa.int64()
-    names = ["doc_id", "n", "node", *sketch_columns(), "slot", "count"]
-    return given.mapInArrow(run, ", ".join(f"{name} long" for name in names))
+    names = ["doc_id", "n", "node", *sketch_columns(), "wide", "slot", "count"]
+    return given.mapInArrow(run, ", ".join(f"{name} {'array<long>' if name == 'wide' else 'long'}" for name in names))
 
 
 def sketch_columns() -> list[str]:
@@ -194,42 +196,42 @@ def met(rows: DataFrame) -> DataFrame:
 def could_link(a: str, b: str, percent: int) -> Column:
     """Whether sizes and dense sketches allow two sets to link."""
     apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in sketch_columns()), F.lit(0))
+    more = F.aggregate(
+        F.zip_with(F.col(f"{a}.wide"), F.col(f"{b}.wide"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     return (
         (100 * F.least(n, m) >= percent * F.greatest(n, m))
-        & ((100 + percent) * apart <= (100 - percent) * (n + m)))
+        & ((100 + percent) * apart <= (100 - percent) * (n + m))
+        & ((100 + percent) * F.coalesce(more, F.lit(0)) <= (100 - percent) * (n + m)))
 
 
-def sets(docs: DataFrame, wanted: DataFrame, alike: Alike, text: str) -> DataFrame:
-    """``node, hashes`` of the sets whose numbers are in ``wanted``, one row each."""
+def sets(docs: DataFrame, wanted: DataFrame, alike: Alike, doc_id: str, text: str) -> DataFrame:
+    """``node, hashes`` of the nodes in ``wanted`` (``node, doc_id``: one document each).
+
+    Texts are read where they lie and only those hashed whose ids fall in the
+    same slots as wanted ones: a bitmap of fixed size, however many there are.
+    Rows that repeat an id may give a node more than once.
+    """
     slots = 1 << 22
     marked = np.zeros(slots // 64, np.uint64)
-    word = F.pmod("node", F.lit(slots))
-    rows = wanted.groupBy(F.floor(word / 64).alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(pmod(node, 64) AS int))")).alias("bits")).collect()  # slots / 64 at most
-    for row in rows:
+    rows = wanted.where("doc_id IS NOT NULL").select(F.pmod("doc_id", F.lit(slots)).alias("slot")).groupBy(
+        F.floor(F.col("slot") / 64).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("bits"))
+    for row in rows.collect():  # slots / 64 at most
         marked[row["at"]] = np.int64(row["bits"]).view(U)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
         for piece in pieces(batches, "text"):
             nodes, hashes = [], []
-            for t in piece.column("text").cast(pa.binary()).to_pylist():
-                found = shingles(t or b"", alike.words)
-                if not len(found):
-                    continue
-                node = digest(found)
-                slot = node % slots
-                if int(marked[slot >> 6]) >> (slot & 63) & 1 and node not in done:
-                    if len(done) >= HELD:
-                        done.clear()
-                    done.add(node)
-                    nodes.append(node)
-                    hashes.append(found.tobytes())
+            for name, t in zip(piece.column("doc_id").to_pylist(), piece.column("text").cast(pa.binary()).to_pylist()):
+                if t and (name is None or int(marked[name % slots >> 6]) >> (name & 63) & 1):
+                    found = shingles(t, alike.words)
+                    if len(found):
+                        nodes.append(digest(found))
+                        hashes.append(found.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(hashes, pa.binary())], ["node", "hashes"])
 
-    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "node long, hashes binary")
-    return found.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
+        run, "node long, hashes binary")
 
 
 def verified(pairs: DataFrame, known: DataFrame, alike: Alike) -> DataFrame:
@@ -277,26 +279,17 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alike: A
     levels = levels_of(about.where("slot IS NOT NULL"), alike)
     rows = about.where("slot IS NULL").drop("slot", "count")
     nodes = settled(rows.where("node IS NOT NULL").groupBy("node").agg(
-        *[F.min(c).alias(c) for c in ("n", *sketch_columns())]), "nodes")
+        F.min("doc_id").alias("doc_id"), *[F.min(c).alias(c) for c in ("n", *sketch_columns(), "wide")]), "nodes")
     groups = settled(met(offered(docs, levels, alike, text)), "met")
-    roots, links, tried = None, None, None
-    for turn in range(alike.rounds + 1):
-        if turn == 0:
-            pairs = groups.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-            pairs = with_nodes(pairs.distinct(), nodes).where(could_link("x", "y", alike.percent)).select("a", "b")
-        else:
-            open_ = still_open(groups, roots)
-            open_ = settled(open_, "open")
-            if open_.isEmpty():
-                break
-            pairs = star(open_, nodes, turn, alike) if turn < alike.rounds else across(open_, nodes, alike)
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = settled(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        found = settled(verified(pairs, settled(sets(docs, wanted, alike, text), "hashes"), alike), "links")
-        links = found if links is None else found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = settled(components(links), "roots")
+    pairs = settled(star(groups, nodes, alike), "pairs")
+    links = settled(linked(docs, pairs, nodes, alike, doc_id, text), "links")
+    roots = settled(components(links), "roots")
+    more = across(settled(still_open(groups, roots), "open"), nodes, alike).join(pairs, ["a", "b"], "left_anti")
+    more = settled(more, "pairs")
+    if not more.isEmpty():
+        links = linked(docs, more, nodes, alike, doc_id, text).union(
+            roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = settled(components(settled(links, "links")), "roots")
     named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_rows"))
     least = least.where("_rows > 1").drop("_rows")
@@ -304,9 +297,22 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alike: A
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("_least", "doc_id").alias("component_id"))
 
 
-def with_nodes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    x, y = (nodes.select(F.col("node").alias(c), F.struct("n", *sketch_columns()).alias(s)) for c, s in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b")
+def star(groups: DataFrame, nodes: DataFrame, alike: Alike) -> DataFrame:
+    """Pairs ``a, b`` of a node and a hub that could link."""
+    pairs = groups.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    x, y = (nodes.select(F.col("node").alias(c), sketched().alias(s)) for c, s in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").where(could_link("x", "y", alike.percent)).select("a", "b")
+
+
+def sketched() -> Column:
+    return F.struct("n", *sketch_columns(), "wide")
+
+
+def linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, alike: Alike, doc_id: str, text: str) -> DataFrame:
+    """Those of the pairs whose sets link."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = settled(nodes.join(wanted, "node", "left_semi").select("node", "doc_id"), "wanted")
+    return verified(pairs, settled(sets(docs, wanted, alike, doc_id, text), "hashes"), alike)
 
 
 def still_open(groups: DataFrame, roots: DataFrame) -> DataFrame:
@@ -318,19 +324,9 @@ def still_open(groups: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(split, "key", "left_semi")
 
 
-def star(open_: DataFrame, nodes: DataFrame, turn: int, alike: Alike) -> DataFrame:
-    """Each open key's nodes with a hub of the round, where they lie in other components."""
-    order = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "root")
-    hubs = open_.groupBy("key").agg(F.min(order).alias("hub")).select(
-        "key", F.col("hub.node").alias("_hub"), F.col("hub.root").alias("_root"))
-    pairs = open_.join(hubs, "key").where("root <> _root").select(
-        F.least("node", "_hub").alias("a"), F.greatest("node", "_hub").alias("b"))
-    return with_nodes(pairs.distinct(), nodes).where(could_link("x", "y", alike.percent)).select("a", "b")
-
-
 def across(open_: DataFrame, nodes: DataFrame, alike: Alike) -> DataFrame:
     """All pairs of an open key's nodes in two components that could link."""
-    known = open_.join(nodes, "node").select("key", "root", "node", F.struct("n", *sketch_columns()).alias("s"))
+    known = open_.join(nodes, "node").select("key", "root", "node", sketched().alias("s"))
     x = known.select("key", F.col("node").alias("a"), F.col("root").alias("_a"), F.col("s").alias("x"))
     y = known.select("key", F.col("node").alias("b"), F.col("root").alias("_b"), F.col("s").alias("y"))
     return x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("_a") != F.col("_b"))
