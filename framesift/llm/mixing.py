@@ -65,14 +65,14 @@ def targets(sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-          mix: Mix = Mix()) -> DataFrame:
+          mix: Mix = Mix(), drawn_by: str | None = None) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken``, a row for each document.
 
     A document is taken floor(rate) times, the rate being its source's target
     by size, and once more where its draw is under the rest of the rate. Each
     source draws with that one of ``mix.seeds`` seeds whose taken words come
     nearest to its target: all seeds' words are added up in the same pass.
-    Draws depend on the id alone, so reruns agree.
+    Draws depend on the id alone (or the column ``drawn_by``), so reruns agree.
 
     A null or empty text has size 0; sources of size 0 have target 0 and no
     copies. A null source is one of its own, last in order. Rows repeated or
@@ -84,7 +84,8 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     documents by an equi-join that adaptive execution splits.
     """
     sized = settled(docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sizes")
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
+        F.col(drawn_by or doc_id).alias("_by")), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     rated = targets(sources, mix).withColumn(
         "_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
@@ -94,7 +95,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     rated = settled(rated, "rates")
     joined = sized.join(rated, F.col("source").eqNullSafe(F.col("_source")))
     once = [
-        F.sum(F.when(draw(F.col("doc_id"), F.lit(s)) < F.col("_part"), F.col("size")).otherwise(0)).alias(f"s{s}")
+        F.sum(F.when(draw(F.col("_by"), F.lit(s)) < F.col("_part"), F.col("size")).otherwise(0)).alias(f"s{s}")
         for s in range(mix.seeds)
     ]
     drawn = joined.groupBy("_source").agg(
@@ -103,7 +104,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
         F.struct(F.abs(F.col("_w") * F.col("_n") + F.col(f"s{s}") - F.col("_t")).alias("away"), F.lit(s).alias("seed"))
         for s in range(mix.seeds)])
     seeds = drawn.select(F.col("_source").alias("_of"), F.array_min(away)["seed"].alias("_seed"))
-    copies = F.col("_whole") + (draw(F.col("doc_id"), F.col("_seed")) < F.col("_part")).cast("long")
+    copies = F.col("_whole") + (draw(F.col("_by"), F.col("_seed")) < F.col("_part")).cast("long")
     return (
         sized.join(rated.join(seeds, F.col("_source").eqNullSafe(F.col("_of"))),
                    F.col("source").eqNullSafe(F.col("_source")))
