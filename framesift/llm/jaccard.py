@@ -45,7 +45,7 @@ class Alike:
 
     words: int = 5
     percent: int = 75
-    slots: int = 1 << 20
+    slots: int = 1 << 22
 
 
 def most_apart(sizes: int, percent: int) -> int:
@@ -119,7 +119,7 @@ def described(docs: DataFrame, alike: Alike, doc_id: str, text: str) -> DataFram
                 [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()),
                  *[pa.array(columns[:, k]) for k in range(SKETCH)], pa.array(wide, pa.list_(pa.int64())), nothing, nothing], names)
         # Slots that stand out here; the others are what rare shingles make.
-        often = np.flatnonzero(counts >= max(6, 8 * total / alike.slots))
+        often = np.flatnonzero(counts >= max(5, 4 * total / alike.slots))
         nothing = pa.nulls(len(often), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [nothing, nothing, nothing, *[nothing] * SKETCH, pa.nulls(len(often), pa.list_(pa.int64())),
@@ -194,15 +194,21 @@ def met(rows: DataFrame) -> DataFrame:
 
 
 def could_link(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and dense sketches allow two sets to link."""
+    """Whether sizes and short sketches allow two sets to link."""
     apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in sketch_columns()), F.lit(0))
-    more = F.aggregate(
-        F.zip_with(F.col(f"{a}.wide"), F.col(f"{b}.wide"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     return (
         (100 * F.least(n, m) >= percent * F.greatest(n, m))
-        & ((100 + percent) * apart <= (100 - percent) * (n + m))
-        & ((100 + percent) * F.coalesce(more, F.lit(0)) <= (100 - percent) * (n + m)))
+        & ((100 + percent) * apart <= (100 - percent) * (n + m)))
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, alike: Alike) -> DataFrame:
+    """The pairs ``a, b`` that all sketches allow to link."""
+    x, y = (nodes.select(F.col("node").alias(c), F.struct("n", *sketch_columns(), "wide").alias(s)) for c, s in (("a", "x"), ("b", "y")))
+    apart = F.aggregate(
+        F.zip_with(F.col("x.wide"), F.col("y.wide"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+    allowed = (100 + alike.percent) * F.coalesce(apart, F.lit(0)) <= (100 - alike.percent) * (F.col("x.n") + F.col("y.n"))
+    return pairs.join(x, "a").join(y, "b").where(could_link("x", "y", alike.percent) & allowed).select("a", "b")
 
 
 def sets(docs: DataFrame, wanted: DataFrame, alike: Alike, doc_id: str, text: str) -> DataFrame:
@@ -281,11 +287,11 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alike: A
     nodes = settled(rows.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), *[F.min(c).alias(c) for c in ("n", *sketch_columns(), "wide")]), "nodes")
     groups = settled(met(offered(docs, levels, alike, text)), "met")
-    pairs = settled(star(groups, nodes, alike), "pairs")
+    pairs = settled(plausible(star(groups), nodes, alike), "pairs")
     links = settled(linked(docs, pairs, nodes, alike, doc_id, text), "links")
     roots = settled(components(links), "roots")
     more = across(settled(still_open(groups, roots), "open"), nodes, alike).join(pairs, ["a", "b"], "left_anti")
-    more = settled(more, "pairs")
+    more = settled(plausible(more, nodes, alike), "pairs")
     if not more.isEmpty():
         links = linked(docs, more, nodes, alike, doc_id, text).union(
             roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -297,15 +303,9 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alike: A
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("_least", "doc_id").alias("component_id"))
 
 
-def star(groups: DataFrame, nodes: DataFrame, alike: Alike) -> DataFrame:
-    """Pairs ``a, b`` of a node and a hub that could link."""
-    pairs = groups.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    x, y = (nodes.select(F.col("node").alias(c), sketched().alias(s)) for c, s in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").where(could_link("x", "y", alike.percent)).select("a", "b")
-
-
-def sketched() -> Column:
-    return F.struct("n", *sketch_columns(), "wide")
+def star(groups: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of a node and a hub."""
+    return groups.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, alike: Alike, doc_id: str, text: str) -> DataFrame:
@@ -325,8 +325,8 @@ def still_open(groups: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def across(open_: DataFrame, nodes: DataFrame, alike: Alike) -> DataFrame:
-    """All pairs of an open key's nodes in two components that could link."""
-    known = open_.join(nodes, "node").select("key", "root", "node", sketched().alias("s"))
+    """All pairs ``a, b`` of an open key's nodes in two components that short sketches allow."""
+    known = open_.join(nodes, "node").select("key", "root", "node", F.struct("n", *sketch_columns()).alias("s"))
     x = known.select("key", F.col("node").alias("a"), F.col("root").alias("_a"), F.col("s").alias("x"))
     y = known.select("key", F.col("node").alias("b"), F.col("root").alias("_b"), F.col("s").alias("y"))
     return x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("_a") != F.col("_b"))
