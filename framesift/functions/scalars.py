@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -36,6 +37,21 @@ def number(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
+def quantity_of(text: str) -> float | None:
+    """:func:`quantity` of one text here, by the same pattern."""
+
+    def plain(part: str) -> float | None:
+        return float(part) if re.fullmatch(_NUMBER.strip("^$"), part) else None
+
+    if text.endswith("%"):
+        share = plain(text[:-1])
+        value = None if share is None else share / 100.0
+    else:
+        over, slash, under = (plain(p) if k != 1 else p for k, p in enumerate(text.partition("/")))
+        value = over if not slash else over / under if over is not None and under else None
+    return value if value is not None and abs(value) < float("inf") else None
+
+
 def quantity(text: Column | str) -> Column:
     """A written quantity: ``3``, ``1/250`` or ``5%``; null if it isn't one."""
     text = col(text)
@@ -148,12 +164,21 @@ def _unusual_seconds(captured: Column) -> Column:
         return F.when(part.rlike(_WHOLE), part.try_cast("int"))
 
     year, month, day = whole(0), whole(1), whole(2)
-    months = (year - 1970) * 12 + month - 1
-    days = F.unix_date(F.add_months(F.lit("1970-01-01").cast("date"), months)) + day - 1
+    days = _days(year.cast("long"), month.cast("long") - 1) + day - 1
     hour, minute, second = (number(F.get(clock, F.lit(i))) for i in range(3))
     return F.when(space > 0, days * 86400.0 + hour * 3600.0 + minute * 60.0 + second)
 
 
+def _days(year: Column, month: Column) -> Column:
+    """Days from 1970 to the first of a month counted from 0, any year and
+    any month: whole numbers wide enough for all that a text can hold."""
+    year, month = year + F.floor(month / 12), F.pmod(month, F.lit(12))
+    # Years begin in March here, so that a leap day comes last.
+    start = F.when(month < 2, year - 1).otherwise(year)
+    leaps = F.floor(start / 4) - F.floor(start / 100) + F.floor(start / 400)
+    return start * 365 + leaps + F.floor((F.pmod(month + 10, F.lit(12)) * 153 + 2) / 5) - 719468
+
+
 def capture_text(date: Column | str, fraction: Column | str) -> Column:
     """A capture date with its fraction of a second; null for the blanks a
     camera with no clock set writes."""
@@ -246,8 +271,8 @@ def fnv_hex(key: Column | str) -> Column:
 
 
 def frame_key(path: Column | str, captured: Column | str) -> Column:
-    """What a frame is told apart by in the log: a card's names come round
-    again, so its capture time too."""
+    """A frame's identity as one text: its path with its capture time, as
+    paths alone are used again."""
     return F.concat(col(path), F.lit("|"), F.coalesce(col(captured), F.lit("")))
 
 

@@ -114,10 +114,10 @@ def _placed(found: Column) -> Column:
 def _judged(placed: Column) -> Column:
     value = placed["value"]
     problem = (
-        F.when(placed["empty"], "sidecar has an empty rating")
-        .when(value.isNotNull() & _whole(value).isNull(), "sidecar has a rating that isn't a number")
-        .when(placed["at"].isNull(), "sidecar has no rdf:Description")
-        .when(value.isNull() & placed["taken"], "sidecar uses the xmp: prefix for something else")
+        F.when(placed["empty"], "the rating element holds nothing")
+        .when(value.isNotNull() & _whole(value).isNull(), "the rating is no whole number")
+        .when(placed["at"].isNull(), "nothing in the text describes a resource")
+        .when(value.isNull() & placed["taken"], "the prefix xmp is bound to another namespace")
     )
     # A value can be replaced whatever it is, but an element must hold one.
     missing = placed["at"].isNotNull() & ~placed["taken"]

@@ -100,7 +100,7 @@ def write_back(marks: DataFrame, sidecars: DataFrame, naming: str = "darktable")
     joined = scale.lookup(beside, old, ["sidecar_path"], ["path"])
     there = F.col("_old").isNotNull()
     bad = ~F.col("rating").between(S.REJECT, S.STARS)
-    problem = F.when(bad, "rating must be -1 to 5").when(
+    problem = F.when(bad, "there is no such mark").when(
         there & ~F.col("_place.writable"), F.col("_place.problem")
     )
     new = F.when(there, xmp.with_rating_at("_old", "_place", "rating")).otherwise(xmp.fresh("rating"))

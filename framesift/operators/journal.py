@@ -92,19 +92,25 @@ def outcomes(log: DataFrame) -> DataFrame:
 def passed(
     views: DataFrame, log: DataFrame, ratings: DataFrame | None = None, layout: Layout = SMALL
 ) -> DataFrame:
-    """The frames looked at and left unmarked, ``(session, dir, path)``, in
-    the sittings and folders where any mark was made: a folder only looked
-    through says nothing of what's passed over.
+    """``(session, dir, path)`` of the views whose frame had no rating when
+    the sitting's last mark in that folder was made; sittings without a mark
+    in a folder give no rows for it.
 
-    ``ratings`` ``(path, rating)`` is what frames held before the sitting.
+    A frame's rating then is that of its last mark in the log so far,
+    whichever sitting made it, or else the one in ``ratings`` ``(path,
+    rating)``, what frames held before the log began.
     """
     marked = log.where(F.col("how") != "pass").withColumns(
         {"path": F.col("file.path"), "dir": scalars.parent("file.path")}
     )
     seen = views.select("session", "dir", "path").distinct()
-    sittings = marked.select("session", "dir").distinct()
-    busy = scale.lookup(seen, sittings, ["session", "dir"], ["path"], layout, how="left_semi")
-    last = marked.groupBy("session", "path").agg(F.max_by("rating", "seq").alias("_last"))
+    sittings = marked.groupBy("session", "dir").agg(F.max("seq").alias("_end"))
+    busy = scale.lookup(seen, sittings, ["session", "dir"], ["path"], layout, how="inner")
+    marks = marked.select(F.col("path").alias("_of"), F.col("rating").alias("_rating"), F.col("seq").alias("_seq"))
+    last = (
+        busy.join(marks, (F.col("path") == F.col("_of")) & (F.col("_seq") <= F.col("_end")))
+        .groupBy("session", "path").agg(F.max_by("_rating", "_seq").alias("_last"))
+    )
     left = scale.lookup(busy, last, ["session", "path"], ["path"])
     held = F.col("_last")
     if ratings is not None:

@@ -47,17 +47,22 @@ def copies(
 
 def tallies(results: DataFrame) -> DataFrame:
     """How copying ``(to, path, status, problem)`` went, a row a destination:
-    statuses are ``copy`` (done), ``there`` and ``failed``. One failure is
-    given as an example; the results hold them all."""
+    statuses are ``copy`` (done), ``there`` and ``failed``, whose reasons
+    :func:`failures` lists."""
     failed = F.col("status") == "failed"
     return results.groupBy("to").agg(
         F.count_if(F.col("status") == "copy").alias("copied"),
         F.count_if(F.col("status") == "there").alias("there"),
         F.count_if(failed).alias("failed"),
-        F.min_by("problem", F.when(failed, F.col("path"))).alias("example"),
     )
 
 
+def failures(results: DataFrame) -> DataFrame:
+    """Every copy that failed and why, ``(to, path, problem)``: rows of their
+    own, as a destination may have any number."""
+    return results.where(F.col("status") == "failed").select("to", "path", "problem")
+
+
 def deletions(frames: DataFrame, files: DataFrame) -> DataFrame:
     """Every reject, on show or not, and its sidecars named either way that
     exist: ``(picture, path, what)``."""

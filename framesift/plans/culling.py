@@ -213,8 +213,8 @@ def saved_searches(spark, sf):
 @query(
     "bad_terms",
     f"""WITH {_TERMS_SQL} SELECT search_id, field, CASE field WHEN 'colour'
-      THEN 'no field called "colour" (there are {", ".join(predicates.FIELDS)})'
-      ELSE 'focus: expects a number, like >=3 (not "fast")' END AS problem
+      THEN '"colour" can''t be searched, but these can: {", ".join(predicates.FIELDS)}'
+      ELSE 'focus takes a number, fraction or percentage; given was "fast"' END AS problem
     FROM terms WHERE field = 'colour' OR (field = 'focus' AND value = 'fast')""",
 )
 def bad_terms(spark, sf):
@@ -676,15 +676,26 @@ def document_copies(spark, sf):
       SELECT dir AS "to", path, CASE WHEN rating = 5 THEN 'there' WHEN kind = 'png' THEN 'failed' ELSE 'copy' END AS status
       FROM frames WHERE rating >= 1)
     SELECT "to", count(*) FILTER (status = 'copy') AS copied, count(*) FILTER (status = 'there') AS there,
-      count(*) FILTER (status = 'failed') AS failed, min(path) FILTER (status = 'failed') || ': full' AS example
+      count(*) FILTER (status = 'failed') AS failed
     FROM results GROUP BY "to" """,
 )
 def copy_tallies(spark, sf):
+    return manifest.tallies(_copied(spark, sf))
+
+
+@query(
+    "copy_failures",
+    f"""{FRAMES} SELECT dir AS "to", path, path || ': full' AS problem FROM frames WHERE rating BETWEEN 1 AND 4 AND kind = 'png'""",
+)
+def copy_failures(spark, sf):
+    return manifest.failures(_copied(spark, sf))
+
+
+def _copied(spark: SparkSession, sf: str) -> DataFrame:
     status = F.when(F.col("rating") == 5, "there").when(F.col("kind") == "png", "failed").otherwise("copy")
-    results = A.frames(spark, sf).where(F.col("rating") >= 1).select(
+    return A.frames(spark, sf).where(F.col("rating") >= 1).select(
         F.col("dir").alias("to"), "path", status.alias("status"), F.concat("path", F.lit(": full")).alias("problem")
     )
-    return manifest.tallies(results)
 
 
 @query(

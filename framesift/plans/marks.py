@@ -102,7 +102,8 @@ def suggestion_outcomes(spark, sf):
 @query(
     "passed_frames",
     f"""{LOG}, marked AS (SELECT * FROM decisions WHERE how <> 'pass'),
-    last AS (SELECT session, path, arg_max(rating, seq) AS rating FROM marked GROUP BY ALL)
+    ends AS (SELECT session, dir, max(seq) AS seq FROM marked GROUP BY ALL),
+    last AS (SELECT e.session, m.path, arg_max(m.rating, m.seq) AS rating FROM ends e JOIN marked m ON m.dir = e.dir AND m.seq <= e.seq GROUP BY ALL)
     SELECT DISTINCT d.session, d.dir, d.path FROM decisions d SEMI JOIN marked m ON m.session = d.session AND m.dir = d.dir
       LEFT JOIN last l ON l.session = d.session AND l.path = d.path WHERE coalesce(l.rating, 0) = 0""",
 )
@@ -204,7 +205,7 @@ def _pictures(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "sidecar_ratings",
     f"""{LOG} SELECT '/p/' || seq || '.NEF' AS path, CASE WHEN seq % 6 < 2 THEN rating ELSE 0 END AS rating,
-      CASE seq % 6 WHEN 3 THEN 'sidecar has no rdf:Description' WHEN 4 THEN 'sidecar has a rating that isn''t a number' END AS problem
+      CASE seq % 6 WHEN 3 THEN 'nothing in the text describes a resource' WHEN 4 THEN 'the rating is no whole number' END AS problem
     FROM decisions""",
 )
 def sidecar_ratings(spark, sf):
@@ -216,7 +217,7 @@ def sidecar_ratings(spark, sf):
     "sidecar_writes",
     f"""{LOG}, marks AS (SELECT seq, rating AS held, seq % 7 - 1 AS rating FROM decisions)
     SELECT '/p/' || seq || '.NEF' AS path, CASE WHEN seq % 6 = 3 THEN NULL ELSE rating END AS reads,
-      CASE WHEN seq % 6 = 3 THEN 'sidecar has no rdf:Description' END AS problem
+      CASE WHEN seq % 6 = 3 THEN 'nothing in the text describes a resource' END AS problem
     FROM marks WHERE CASE seq % 6 WHEN 0 THEN held <> rating WHEN 1 THEN true WHEN 5 THEN rating <> 0 ELSE true END""",
 )
 def sidecar_writes(spark, sf):

@@ -60,7 +60,7 @@ def stream_deduplicated(spark, sf):
 
 @query(
     "stream_last_marks",
-    f"""{LOG} SELECT path, arg_max(rating, (made, rating)) AS rating, max(made) AS "at" FROM decisions
+    f"""{LOG} SELECT path, arg_max(rating, (made, seq)) AS rating, max(made) AS "at" FROM decisions
     WHERE was <> rating OR how = 'pass' GROUP BY path""",
 )
 def stream_last_marks(spark, sf):

@@ -83,7 +83,7 @@ def opened(spark: SparkSession, *dirs: str, formats: str = "all") -> DataFrame:
     pictures = assemble.pictures(listed(spark, *dirs))
     empty = [d for d in dirs if pictures.where(F.col("dir") == d.rstrip("/")).isEmpty()]
     if empty:
-        raise FileNotFoundError(f"no raws, JPEGs or PNGs in {', '.join(empty)}")
+        raise FileNotFoundError(f"nothing of a kind that can be shown is in {', '.join(empty)}")
     return assemble.of_format(pictures, formats)
 
 

@@ -66,7 +66,7 @@ def test_what_is_appended(spark, tmp_path):
     journal.append(marks, path, order="seq")
     lines = [json.loads(line) for f in sorted((tmp_path / "log").glob("*.json")) for line in f.read_text().splitlines()]
     assert len(lines) == marks.where("was <> rating or how = 'pass'").count()
-    assert list(lines[0]) == ["v", "at", "session", "file", "rating", "was", "how", "view", "compared", "filter", "dwell_ms", "signals", "standing", "suggested"]
+    assert list(lines[0]) == ["v", "at", "session", "file", "rating", "was", "how", "view", "compared", "filter", "dwell_ms", "signals", "standing", "suggested", "batch", "line"]
     assert [line["at"] for line in lines] == sorted(line["at"] for line in lines)
 
 
@@ -118,3 +118,16 @@ def test_the_shared_folder_is_the_cluster_s(spark):
     with pytest.raises(RuntimeError, match="every executor"):
         shared.folder(Cluster, "x")
     assert shared.folder(spark, "x") != shared.folder(spark, "x")
+
+
+def test_later_append_wins_a_millisecond(spark, tmp_path):
+    """Of marks made in the same millisecond the one appended last stands, whatever files are called."""
+    path = str(tmp_path / "log")
+    from framesift import schema as S
+    from framesift.operators import journal as reduced
+
+    empty = {f.name: None for f in S.DECISIONS.fields}
+    for k, rating in enumerate((3, 5, 1, 4, 2)):
+        row = empty | {"at": 7, "session": 1, "file": ("/a/1.ARW", 1, 1, None), "rating": rating, "was": 0, "how": "mark"}
+        journal.append(spark.createDataFrame([row], S.DECISIONS), path)
+        assert reduced.last_marks(journal.read(spark, path)).first().rating == rating
