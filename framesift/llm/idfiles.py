@@ -26,13 +26,19 @@ from framesift.llm.rangecoder import BLOCK, decode, encode
 MAGIC = b"FSIDS1\n\0"
 # magic, length of header and blocks, partition, frame in it, documents, ids, blocks
 HEAD = "<8sQIIIQI"
-# Ids after which a frame is closed, and words a worker remembers.
-FRAME, WORDS = 2_000_000, 400_000
+# Ids after which a frame is closed, words a worker remembers, and words coded in one go.
+FRAME, WORDS, GO = 2_000_000, 1_000_000, 2048
+
+
+def letters(word: bytes) -> bool:
+    """Whether a word is letters alone, and so one run to the tokenizer's pattern."""
+    return word.isalpha() or not word.isascii() and word.decode().isalpha()
 
 
 class WordCoder:
     """A tokenizer applied word by word: this one's normalizer and pattern
-    never look across white space, so words seen before needn't be coded again."""
+    never look across white space, so words seen before needn't be coded
+    again, and letters before a last sign are coded as without it."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -40,23 +46,48 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are text
-        if self.tokenizer.get_vocab_size() > 65536:
+        vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) > 65535:
             raise ValueError("ids have to fit 16 bits")
+        self.last = np.zeros(65536, bool)  # whether an id ends a run of letters
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian 16-bit numbers."""
         words = [t.split() for t in texts]  # at ASCII white space
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        if len(known) + len(new) > WORDS:
-            known.clear()
-            new = list({w for ws in words for w in ws})
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
+        new = {w for ws in words for w in ws}.difference(self.known)
+        if len(self.known) + len(new) > WORDS:
+            self.known.clear()
+            new = {w for ws in words for w in ws}
+        self.add(new)
+        known = self.known.__getitem__
+        return [b"".join(map(known, ws)) for ws in words]
+
+    def add(self, new: set[bytes]) -> None:
+        signed = [w for w in new if w[-1:] in b".,!?;:" and letters(w[:-1])]
+        cores = {w[:-1] for w in signed}.union({w[-1:] for w in signed}).difference(self.known)
+        new = new.difference(signed).union(cores)
+        plain = [w for w in new if letters(w)]
+        others = list(new.difference(plain))
+        for start in range(0, len(plain), GO):
+            some = plain[start : start + GO]
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u2")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            packed = ids.tobytes()
+            if len(ends) != len(some):  # a letter that isn't one once normalized
+                others += some
+                continue
+            begin = 0
+            for w, end in zip(some, (2 * ends).tolist()):
+                self.known[w] = packed[begin:end]
+                begin = end
+        for start in range(0, len(others), GO):
+            some = others[start : start + GO]
             coded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            known.update(zip(some, (struct.pack(f"<{len(c.ids)}H", *c.ids) for c in coded)))
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+            self.known.update(zip(some, (struct.pack(f"<{len(c.ids)}H", *c.ids) for c in coded)))
+        for w in signed:
+            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
 
 
 @lru_cache(maxsize=2)

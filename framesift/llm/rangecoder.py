@@ -20,7 +20,7 @@ MOST = (62000, 48000, 32000)
 TOTAL, CLASSES = 20, 17
 WORD, LOW = U(32), U(0xFFFFFFFF)
 _BITS = np.concatenate(([0], np.floor(np.log2(np.arange(1, 65536))).astype(np.int64) + 1))
-_PLACES = np.arange(CLASSES + 1, dtype=np.int32)[:, None]
+_PLACES = np.arange(CLASSES + 1, dtype=np.int16)[:, None]
 
 
 class Model:
@@ -32,8 +32,11 @@ class Model:
         self.last = self.before = np.zeros(lanes, I)
         self.often, self.count = np.zeros(lanes, I), np.zeros(lanes, I)
         self.shares = np.full((3, lanes), 4096, I)
-        self.classes = np.broadcast_to(_PLACES * (4096 // CLASSES), (CLASSES + 1, lanes)).astype(np.int32)
+        self.classes = np.broadcast_to(_PLACES * (4096 // CLASSES), (CLASSES + 1, lanes)).astype(np.int16)
         self.classes[CLASSES] = 4096
+        # Held, as new arrays of this size each step would cost more than the sums.
+        self.after, self.step = np.empty(self.classes.shape, bool), np.empty_like(self.classes)
+        self.edges, self.under = np.empty(self.classes.shape, np.uint32), np.empty((CLASSES - 1, lanes), bool)
         self.every = np.arange(lanes)
 
     def guess(self) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -48,14 +51,27 @@ class Model:
             left = left - part
         return guesses, starts, left
 
+    def kinds(self, left: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The class whose part of ``left`` a value lies in."""
+        np.multiply(self.classes, left.astype(np.uint32), out=self.edges, dtype=np.uint32, casting="unsafe")
+        self.edges >>= 12
+        np.less_equal(self.edges[1:CLASSES], np.maximum(value, 0).astype(np.uint32), out=self.under)
+        return self.under.sum(0, dtype=np.int8).astype(I)
+
     def learn(self, ids: np.ndarray, hits: list[np.ndarray], other: np.ndarray, kind: np.ndarray) -> None:
         tried = np.ones(len(ids), I)
         for share, hit, most in zip(self.shares, hits, MOST):
             share += ((hit.astype(I) << 16) - share >> SHIFT) * tried
             np.clip(share, 64, most, out=share)
             tried = tried * ~hit
-        target = np.where(_PLACES > kind.astype(np.int32), _PLACES + (4096 - CLASSES), _PLACES)
-        self.classes += (target - self.classes >> 4) * other.astype(np.int32)
+        # Each class's edge moves towards 0 or all, but for one place a class.
+        np.greater(_PLACES, kind.astype(np.int16), out=self.after)
+        np.multiply(self.after, np.int16(4096 - CLASSES), out=self.step)
+        self.step += _PLACES
+        self.step -= self.classes
+        self.step >>= 4
+        self.step *= other.astype(np.int16)
+        self.classes += self.step
         self.two[self.at_two] = ids
         self.one[self.at_one] = ids
         right = ids == self.often
@@ -138,9 +154,8 @@ def decode(words: np.ndarray, used: np.ndarray) -> np.ndarray:
         value = np.minimum((code - low) // part, U((1 << TOTAL) - 1)).astype(I)
         two, other = value < starts[1], value >= starts[3]
         one, often = ~two & (value < starts[2]), ~other & (value >= starts[2])
-        edges = left * model.classes >> 12
-        kind = (edges[1:CLASSES] <= value - starts[3]).sum(0)
-        begin, end = starts[3] + edges[kind, model.every], starts[3] + edges[kind + 1, model.every]
+        kind = model.kinds(left, value - starts[3])
+        begin, end = starts[3] + model.edges[kind, model.every], starts[3] + model.edges[kind + 1, model.every]
         for hit, k in ((two, 0), (one, 1), (often, 2)):
             begin, end = np.where(hit, starts[k], begin), np.where(hit, starts[k + 1], end)
         low, span = low + begin.astype(U) * part, (end - begin).astype(U) * part
