@@ -1,14 +1,22 @@
 """Ratings in XMP sidecar text: found, read, and changed in place.
 
 A sidecar holds a whole edit, so only the characters of the rating's value are
-ever replaced. The text isn't parsed: the few places a rating can be are found
-by pattern, with the prefixes the text itself binds to the namespaces.
+ever replaced. Where they are is told by a parser that reads each text to its
+end, batch by batch in Python: namespaces are those in scope, what comments
+and CDATA sections hold doesn't count, and a text that isn't well-formed is
+left alone.
 """
 
 from __future__ import annotations
 
+import re
+from xml.parsers import expat
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from framesift.functions.scalars import bind, col
 
@@ -16,27 +24,13 @@ from framesift.functions.scalars import bind, col
 XMP_NAMESPACE = "http://ns.adobe.com/xap/1.0/"
 RDF_NAMESPACE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 
-# The attributes of a tag before the one that's looked for. Each is matched in
-# one way only, so what doesn't match is found out at once.
-_ATTRIBUTES = r"""(?:\s+[^\s=>"']+\s*=\s*(?:"[^"]*"|'[^']*'))*?"""
-
-
-def _bound(xmp: Column, namespace: str) -> Column:
-    """The prefixes bound to a namespace."""
-    quoted = namespace.replace(".", r"\.")
-    found = F.regexp_extract_all(
-        xmp, F.lit(rf"""xmlns:([\w.-]+)\s*=\s*["']{quoted}["']"""), F.lit(1)
-    )
-    return F.array_distinct(found)
-
-
-def _seen(xmp: Column) -> Column:
-    """The text with its comments blanked out, at the same length."""
-    pieces = F.split(xmp, r"(?s)(?=<!--)|(?<=-->)")
-    blanked = F.transform(
-        pieces, lambda p: F.when(p.startswith("<!--"), F.repeat(F.lit(" "), F.length(p))).otherwise(p)
-    )
-    return F.when(xmp.contains("<!--"), F.array_join(blanked, "")).otherwise(xmp)
+_WHOLE = r"^[ \t-\r]*[+-]?[0-9]+[ \t-\r]*$"
+_NAME = re.compile(rb"<[^\s/>]+")
+_ATTRIBUTE = re.compile(rb"""\s+([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*')""")
+_PLACE = T.StructType([
+    T.StructField("writable", T.BooleanType()), T.StructField("at", T.IntegerType()), T.StructField("length", T.IntegerType()),
+    T.StructField("value", T.StringType()), T.StructField("declared", T.BooleanType()), T.StructField("problem", T.StringType()),
+])
 
 
 def _whole(value: Column) -> Column:
@@ -44,107 +38,96 @@ def _whole(value: Column) -> Column:
     return F.when(digits.rlike(r"^[+-]?[0-9]+$"), digits.try_cast("int"))
 
 
-def _patterns(rdf: Column, ours: Column) -> tuple[Column, Column, Column]:
-    """Where a description's name ends, and both spellings of the rating."""
-    tag = F.concat(F.lit("(?s)^(.*?<"), rdf, F.lit(r":Description)(?=[\s/>])"))
-    attribute = F.concat(
-        F.lit("(?s)^(.*?<"), rdf, F.lit(":Description" + _ATTRIBUTES + r"\s+"), ours,
-        F.lit(r""":Rating\s*=\s*["'])([^"']*)["']"""),
-    )
-    element = F.concat(F.lit("(?s)^(.*?<"), ours, F.lit(r":Rating(?:\s[^>]*)?/?>)([^<]*)"))
-    return tag, attribute, element
-
-
-# The prefixes nearly every writer uses. Their patterns are constants, and so
-# compiled once.
-_USUAL = (("rdf", "xmp"), ("rdf", "xap"))
-
-
-def _found(text: Column) -> Column:
-    """What the patterns find in ``struct<seen, rdf, ours>``."""
-
-    def any_of(prefixes: Column) -> Column:
-        return F.concat(F.lit("(?:"), F.array_join(prefixes, "|"), F.lit(")"))
-
-    found = _found_by(text, *_patterns(any_of(text["rdf"]), any_of(text["ours"])))
-    for rdf, ours in _USUAL:
-        bound = (text["rdf"] == F.array(F.lit(rdf))) & (text["ours"] == F.array(F.lit(ours)))
-        found = F.when(bound, _found_by(text, *_patterns(F.lit(rdf), F.lit(ours)))).otherwise(found)
-    return found
-
-
-def _found_by(text: Column, tag: Column, attribute: Column, element: Column) -> Column:
-    """Where the first description's name ends, and each spelling of the
-    rating, as what comes before it and its value."""
-    seen = text["seen"]
-
-    def group(pattern: Column, n: int) -> Column:
-        return F.call_function("regexp_extract", seen, pattern, F.lit(n))
-
-    # A prefix that isn't bound would match anything.
-    has_rdf, has_ours = F.size(text["rdf"]) > 0, F.size(text["ours"]) > 0
-    in_element = has_ours & seen.contains(":Rating")
-    return F.struct(
-        F.when(has_rdf, F.nullif(F.length(group(tag, 1)), F.lit(0))).alias("described"),
-        F.when(has_rdf & in_element, F.nullif(F.length(group(attribute, 1)), F.lit(0))).alias("in_tag"),
-        F.when(has_rdf & in_element, group(attribute, 2)).alias("tag_value"),
-        F.when(in_element, F.nullif(F.length(group(element, 1)), F.lit(0))).alias("in_text"),
-        F.when(in_element, group(element, 2)).alias("text_value"),
-        # <xmp:Rating/> is found as an element that ends at once.
-        F.when(in_element, group(element, 1).endswith("/>")).alias("empty"),
-        F.array_contains(text["ours"], "xmp").alias("declared"),
-        (seen.rlike(r"xmlns:xmp\s*=") & ~F.array_contains(text["ours"], "xmp")).alias("taken"),
-    )
-
-
-def _placed(found: Column) -> Column:
-    """The first spelling there is, or where one would go."""
-    first = F.least(found["in_tag"], found["in_text"])
-    by_tag = F.coalesce(found["in_tag"] == first, F.lit(False))
-    return F.struct(
-        (F.coalesce(first, found["described"]) + 1).alias("at"),
-        F.when(by_tag, found["tag_value"]).when(first.isNotNull(), found["text_value"]).alias("value"),
-        by_tag.alias("by_tag"),
-        (first.isNotNull() & ~by_tag & found["empty"]).alias("empty"),
-        found["declared"].alias("declared"),
-        found["taken"].alias("taken"),
-    )
-
-
-def _judged(placed: Column) -> Column:
-    value = placed["value"]
-    problem = (
-        F.when(placed["empty"], "the rating element holds nothing")
-        .when(value.isNotNull() & _whole(value).isNull(), "the rating is no whole number")
-        .when(placed["at"].isNull(), "nothing in the text describes a resource")
-        .when(value.isNull() & placed["taken"], "the prefix xmp is bound to another namespace")
-    )
-    # A value can be replaced whatever it is, but an element must hold one.
-    missing = placed["at"].isNotNull() & ~placed["taken"]
-    writable = F.when(value.isNotNull(), placed["by_tag"] | (value != "")).otherwise(missing)
-    return F.struct(
-        writable.alias("writable"),
-        placed["at"].alias("at"),
-        F.coalesce(F.length(value), F.lit(0)).alias("length"),
-        value.alias("value"),
-        placed["declared"].alias("declared"),
-        problem.alias("problem"),
-    )
+class _Reader:
+    """The first rating of a text and its first description, as byte offsets."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.prefixes: dict[str | None, list[str | None]] = {}
+        self.description: tuple[int, str | None] | None = None  # where its name ends, what xmp: means there
+        self.found: tuple[int, int, str] | None = None  # start, end, attribute or element
+        self.within: int | None = None  # where the open rating element's content starts
+        self.parser = expat.ParserCreate(encoding="utf-8", namespace_separator=" ")
+        self.parser.StartNamespaceDeclHandler = lambda prefix, uri: self.prefixes.setdefault(prefix, []).append(uri)
+        self.parser.EndNamespaceDeclHandler = lambda prefix: self.prefixes[prefix].pop()
+        self.parser.StartElementHandler = self.start
+        self.parser.EndElementHandler = self.end
+        self.parser.Parse(data, True)
+
+    def meaning(self, prefix: str | None) -> str | None:
+        bound = self.prefixes.get(prefix)
+        return bound[-1] if bound else None
+
+    def start(self, name: str, _: dict) -> None:
+        if name not in (f"{RDF_NAMESPACE} Description", f"{XMP_NAMESPACE} Rating"):
+            return
+        at = _NAME.match(self.data, self.parser.CurrentByteIndex).end()
+        ours = name.startswith(XMP_NAMESPACE)
+        if not ours and self.description is None:
+            self.description = (at, self.meaning("xmp"))
+        while found := _ATTRIBUTE.match(self.data, at):
+            prefix, colon, local = found[1].decode().partition(":")
+            if not ours and self.found is None and colon and local == "Rating" and self.meaning(prefix) == XMP_NAMESPACE:
+                self.found = (found.start(2) + 1, found.end(2) - 1, "attribute")
+            at = found.end()
+        if ours and self.found is None:
+            end = self.data.index(b">", at) + 1
+            if self.data[end - 2 : end] == b"/>":
+                self.found = (end, end, "empty")
+            else:
+                self.within = end
+
+    def end(self, name: str) -> None:
+        if self.within is not None and name == f"{XMP_NAMESPACE} Rating":
+            self.found = self.found or (self.within, self.parser.CurrentByteIndex, "element")
+            self.within = None
+
+
+def _read(text: str) -> dict:
+    """One text's place; see :func:`place`."""
+    data = text.encode("utf-8", "surrogatepass")
+    mark = 3 if data.startswith(b"\xef\xbb\xbf") else 0
+    out = dict.fromkeys(("at", "value", "problem")) | {"writable": False, "length": 0, "declared": False}
+    try:
+        reader = _Reader(data[mark:])
+    except expat.ExpatError:
+        return out | {"problem": "the text isn't well-formed XML"}
+
+    def chars(at: int) -> int:
+        return len(data[: mark + at].decode()) + 1
+
+    if reader.description is not None:
+        out["declared"] = reader.description[1] == XMP_NAMESPACE
+    if reader.found is not None:
+        start, end, kind = reader.found
+        value = data[mark + start : mark + end].decode()
+        out |= {"at": chars(start), "value": value, "length": len(value)}
+        # A value can be replaced whatever it is, but an element must hold one, and nothing else.
+        out["writable"] = kind == "attribute" or value != "" and "<" not in value
+        if kind == "empty":
+            out["problem"] = "the rating element holds nothing"
+        elif not re.search(_WHOLE, value):
+            out["problem"] = "the rating is no whole number"
+    elif reader.description is None:
+        out["problem"] = "nothing in the text describes a resource"
+    else:
+        at, meaning = reader.description
+        out |= {"at": chars(at), "writable": meaning in (None, XMP_NAMESPACE)}
+        if not out["writable"]:
+            out["problem"] = "the prefix xmp is bound to another namespace"
+    return out
+
+
+@F.arrow_udf(_PLACE)
+def _places(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else _read(t) for t in texts.to_pylist()], to_arrow_type(_PLACE))
 
 
 def place(xmp: Column | str) -> Column:
     """Where the rating is, or would go: ``struct<writable, at, length, value,
     declared, problem>``. ``value`` is null where there is no rating yet, and
     then ``declared`` says whether ``xmp:`` means XMP already."""
-
-    def bound(seen: Column) -> Column:
-        return F.struct(
-            seen.alias("seen"),
-            _bound(seen, RDF_NAMESPACE).alias("rdf"),
-            _bound(seen, XMP_NAMESPACE).alias("ours"),
-        )
-
-    return bind(bind(bind(bind(_seen(col(xmp)), bound), _found), _placed), _judged)
+    return _places(col(xmp))
 
 
 def rating_at(found: Column | str) -> Column:

@@ -205,7 +205,7 @@ def _pictures(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "sidecar_ratings",
     f"""{LOG} SELECT '/p/' || seq || '.NEF' AS path, CASE WHEN seq % 6 < 2 THEN rating ELSE 0 END AS rating,
-      CASE seq % 6 WHEN 3 THEN 'nothing in the text describes a resource' WHEN 4 THEN 'the rating is no whole number' END AS problem
+      CASE seq % 6 WHEN 3 THEN 'the text isn''t well-formed XML' WHEN 4 THEN 'the rating is no whole number' END AS problem
     FROM decisions""",
 )
 def sidecar_ratings(spark, sf):
@@ -217,7 +217,7 @@ def sidecar_ratings(spark, sf):
     "sidecar_writes",
     f"""{LOG}, marks AS (SELECT seq, rating AS held, seq % 7 - 1 AS rating FROM decisions)
     SELECT '/p/' || seq || '.NEF' AS path, CASE WHEN seq % 6 = 3 THEN NULL ELSE rating END AS reads,
-      CASE WHEN seq % 6 = 3 THEN 'nothing in the text describes a resource' END AS problem
+      CASE WHEN seq % 6 = 3 THEN 'the text isn''t well-formed XML' END AS problem
     FROM marks WHERE CASE seq % 6 WHEN 0 THEN held <> rating WHEN 1 THEN true WHEN 5 THEN rating <> 0 ELSE true END""",
 )
 def sidecar_writes(spark, sf):

@@ -347,8 +347,16 @@ def wrapped(inner):
         (wrapped(f'<rdf:Description xmlns:xmp="{XMP}"><xmp:Rating/></rdf:Description>'), None, "holds nothing", None),
         (wrapped(f'<rdf:Description xmlns:xmp="{XMP}"><xmp:Rating></xmp:Rating></rdf:Description>'), None, "no whole number", None),
         (wrapped(f'<rdf:Description xmlns:xmp="{XMP}" xmp:Rating="high"/>'), None, "no whole number", ("high", "4")),
-        ("not xml at all", None, "nothing in the text describes", None),
-        ("<a><b></a>", None, "nothing in the text describes", None),
+        ("not xml at all", None, "well-formed", None),
+        ("<a><b></a>", None, "well-formed", None),
+        ("<a/>", None, "describes", None),
+        (wrapped('<rdf:Description><b></rdf:Description>'), None, "well-formed", None),
+        (wrapped(f'<rdf:Description xmlns:xmp="{XMP}"><![CDATA[<xmp:Rating>5</xmp:Rating>]]></rdf:Description>'), None, None, ("Description xmlns", 'Description xmp:Rating="4" xmlns')),
+        (wrapped(f'<rdf:Description xmlns:q="urn:other" q:Rating="4"/><rdf:Description xmlns:q="{XMP}" q:Rating="2"/>'), 2, None, ('q:Rating="2"', 'q:Rating="4"')),
+        (wrapped(f'<rdf:Description><Rating xmlns="{XMP}">3</Rating></rdf:Description>'), 3, None, (">3<", ">4<")),
+        (wrapped(f'<rdf:Description xmlns:xmp="{XMP}"><xmp:Rating><![CDATA[5]]></xmp:Rating></rdf:Description>'), None, "no whole number", None),
+        (wrapped(f'<!-- é日 --><rdf:Description xmlns:xmp="{XMP}" a="ü" xmp:Rating = "3"/>'), 3, None, ('"3"', '"4"')),
+        (f'<?xml version="1.0" encoding="UTF-8"?><?x Rating="1"?>' + wrapped(f'<rdf:Description xmlns:xmp="{XMP}" xmp:Rating="3"/>'), 3, None, ('xmp:Rating="3"', 'xmp:Rating="4"')),
     ],
 )
 def test_sidecar_text(spark, text, rating, problem, changed):
@@ -374,7 +382,7 @@ def test_write_back(spark):
     written = assemble.write_back(marks, sidecars)
     found = {r.path[3]: r for r in written.collect()}
     assert sorted(found) == ["2", "3", "5", "6"], "the same mark, and none where there's no sidecar, change nothing"
-    assert found["2"].xmp == held.replace('"2"', '"-1"') and "describes" in found["3"].problem
+    assert found["2"].xmp == held.replace('"2"', '"-1"') and "well-formed" in found["3"].problem
     assert 'Rating="3"' in found["5"].xmp and found["6"].problem == "there is no such mark"
     failed = assemble.failures(written, sidecars)
     assert {r.path[3]: r.on_disk for r in failed.collect()} == {"3": 0, "6": 0}
