@@ -215,16 +215,21 @@ def sidecar_ratings(spark, sf):
 
 @query(
     "sidecar_writes",
-    f"""{LOG}, marks AS (SELECT seq, rating AS held, seq % 7 - 1 AS rating FROM decisions)
-    SELECT '/p/' || seq || '.NEF' AS path, CASE WHEN seq % 6 = 3 THEN NULL ELSE rating END AS reads,
+    f"""{LOG}, marks AS (SELECT seq, rating AS held, CAST(seq % 7 - 1 AS VARCHAR) AS r FROM decisions)
+    SELECT '/p/' || seq || '.NEF' AS path, CASE seq % 6
+      WHEN 0 THEN '{_HEAD}<rdf:Description rdf:about="" xmlns:xmp="{_NS}" xmp:Rating="' || r || '" a="b"/>{_TAIL}'
+      WHEN 1 THEN '{_HEAD}<rdf:Description rdf:about="" xmlns:xap="{_NS}"><xap:Rating>' || r || '</xap:Rating></rdf:Description>{_TAIL}'
+      WHEN 2 THEN '{_HEAD}<rdf:Description xmlns:xmp="{_NS}" xmp:Rating="' || r || '" rdf:about=""/>{_TAIL}'
+      WHEN 4 THEN '{_HEAD}<!-- <rdf:Description xmp:Rating="4"/> --><rdf:Description xmlns:xmp="{_NS}" xmp:Rating="' || r || '"/>{_TAIL}'
+      WHEN 5 THEN '<?xml version="1.0" encoding="UTF-8"?>\n<x:xmpmeta xmlns:x="adobe:ns:meta/" x:xmptk="framesift">\n <rdf:RDF xmlns:rdf="{xmp.RDF_NAMESPACE}">\n'
+        || '  <rdf:Description rdf:about="" xmlns:xmp="{_NS}" xmp:Rating="' || r || '"/>\n </rdf:RDF>\n</x:xmpmeta>\n' END AS xmp,
       CASE WHEN seq % 6 = 3 THEN 'the text isn''t well-formed XML' END AS problem
-    FROM marks WHERE CASE seq % 6 WHEN 0 THEN held <> rating WHEN 1 THEN true WHEN 5 THEN rating <> 0 ELSE true END""",
+    FROM marks WHERE CASE seq % 6 WHEN 0 THEN held <> seq % 7 - 1 WHEN 1 THEN true WHEN 5 THEN seq % 7 <> 1 ELSE true END""",
 )
 def sidecar_writes(spark, sf):
     marks = _pictures(spark, sf).select("path", (F.col("n") % 7 - 1).cast("int").alias("rating"))
-    written = assemble.write_back(marks, _sidecars(spark, sf))
     # A value with blanks round it never is the same text again.
-    return written.select("path", xmp.rating("xmp")["rating"].alias("reads"), "problem")
+    return assemble.write_back(marks, _sidecars(spark, sf)).select("path", "xmp", "problem")
 
 
 @query(

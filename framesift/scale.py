@@ -28,8 +28,8 @@ HOT_ROWS = 2_000_000
 # Hot keys are cut about this many times finer than the limit asks, since the
 # cuts are where hashes fall and so uneven.
 _FINER = 4
-# 2^20 pieces of a key are told apart; more would only make pieces larger.
-_HALVINGS = [1 << bit for bit in reversed(range(20))]
+# As many as an array can have are told apart.
+_HALVINGS = [1 << bit for bit in reversed(range(31))]
 
 
 @dataclass(frozen=True)
@@ -93,14 +93,13 @@ def lookup(
 def _dealt(
     rows: DataFrame, table: DataFrame, keys: Sequence[str], by: Sequence[str], layout: Layout, how: str
 ) -> DataFrame:
-    # Bounded by total/rows, hence the hint.
     pieces = _hot(rows, keys, layout.rows).select(
         *keys, F.ceil(F.col("_n") / layout.rows).cast("int").alias("_pieces")
     )
-    dealt = _on(rows, F.broadcast(pieces), keys, "left").withColumn(
+    dealt = _on(rows, pieces, keys, "left").withColumn(
         "_piece", F.pmod(F.xxhash64(*by), F.coalesce("_pieces", F.lit(1))).cast("int")
     )
-    repeated = _on(table, F.broadcast(pieces), keys, "left").withColumn(
+    repeated = _on(table, pieces, keys, "left").withColumn(
         "_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))
     )
     joined = _on(dealt.drop("_pieces"), repeated.drop("_pieces"), [*keys, "_piece"], how)
@@ -133,19 +132,18 @@ def blocks(df: DataFrame, keys: Sequence[str], order: str, layout: Layout) -> Da
     every = max(layout.rows // _FINER, 1)
     hot = _hot(df, keys, layout.rows).select(*keys)
     cuts = (
-        _on(df.select(*keys, order), F.broadcast(hot), keys, "left_semi")
+        _on(df.select(*keys, order), hot, keys, "left_semi")
         .where(F.pmod(F.xxhash64(order), F.lit(every)) == 0)
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_set(order)).alias("_cuts"))
     )
-    # At most about 4*total/rows cuts over all the keys: bounded like the keys.
-    found = _on(df, F.broadcast(cuts), keys, "left")
+    found = _on(df, cuts, keys, "left")
     # How many cuts are at or before the row, by halving.
     at = F.aggregate(
         F.array(*(F.lit(step) for step in _HALVINGS)),
         F.lit(0),
         lambda done, step: F.when(
-            F.get("_cuts", done + step - 1) <= F.col(order), done + step
+            F.get("_cuts", done - 1 + step) <= F.col(order), done + step
         ).otherwise(done),
     )
     return found.withColumn("_block", F.when(F.col("_cuts").isNull(), 0).otherwise(at)).drop("_cuts")
