@@ -26,7 +26,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 flat = part.reshape(-1, channels).astype(np.int32)
                 # Stored blue first; grey is all three.
                 b, g, r = (flat[:, min(i, channels - 1)] for i in range(3))
-                columns = [pa.array([path] * len(x)), *(pa.array(v.astype(np.int32)) for v in (x, y, r, g, b))]
+                columns = [pa.repeat(path, len(x)), *(pa.array(v.astype(np.int32)) for v in (x, y, r, g, b))]
                 yield pa.RecordBatch.from_arrays(columns, PIXELS.names)
 
 

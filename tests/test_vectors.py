@@ -574,3 +574,17 @@ def test_quantities_are_read_alike(spark):
     said = ["3", "1/250", "5%", "1_000", " 3 ", "1/2%", "1/0", "nan", "inf", "1e400", ".5", "5.", "-2", "+1e-3", "", "/", "1/", "%", "1/2/3"]
     found = spark.createDataFrame([(t,) for t in said], "t string").select("t", scalars.quantity("t").alias("q")).collect()
     assert {r.t: r.q for r in found} == {t: scalars.quantity_of(t) for t in said}
+
+
+def test_tones_are_matched_by_channel(spark):
+    import random
+
+    r = random.Random(8)
+    curves = {(p, c, level): r.randint(0, 255) for p in "ab" for c in "rgb" for level in r.sample(range(4096), 900)}
+    rows = [(p, x, y, *(r.random() for _ in range(3))) for p in "abz" for x in range(12) for y in range(9)]
+    developed = spark.createDataFrame(rows, "path string, x int, y int, r double, g double, b double")
+    table = spark.createDataFrame([(*k, v) for k, v in curves.items()], "path string, channel string, level int, to int")
+    found = {(t.path, t.x, t.y): (t.r, t.g, t.b) for t in pixels.tone_matched(developed, table).collect()}
+    assert len(found) == len(rows)
+    for p, x, y, *levels in rows:
+        assert found[p, x, y] == tuple(curves.get((p, c, int(v * 4095 + 0.5))) for c, v in zip("rgb", levels))
