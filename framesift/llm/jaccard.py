@@ -139,8 +139,8 @@ def levels_of(counted: DataFrame, alike: Alike) -> np.ndarray:
     levels = np.zeros(alike.slots, np.uint8)
     often = counted.groupBy("slot").agg(F.sum("count").alias("count")).select(
         "slot", F.floor(F.log2("count")).cast("int").alias("level"))
-    for row in often.collect():  # no more rows than slots
-        levels[row["slot"]] = row["level"]
+    rows = often.toArrow()  # no more than slots
+    levels[rows.column("slot").to_numpy()] = rows.column("level").to_numpy()
     return levels
 
 
@@ -222,8 +222,8 @@ def sets(docs: DataFrame, wanted: DataFrame, alike: Alike, doc_id: str, text: st
     marked = np.zeros(slots // 64, np.uint64)
     rows = wanted.where("doc_id IS NOT NULL").select(F.pmod("doc_id", F.lit(slots)).alias("slot")).groupBy(
         F.floor(F.col("slot") / 64).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("bits"))
-    for row in rows.collect():  # slots / 64 at most
-        marked[row["at"]] = np.int64(row["bits"]).view(U)
+    found = rows.toArrow()  # slots / 64 rows at most
+    marked[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(U)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
