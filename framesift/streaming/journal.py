@@ -91,13 +91,13 @@ class _Leaving(StatefulProcessor):
         marked, timer = self.sitting.get() if self.sitting.exists() else (False, 0)
         last = 0
         for part in rows:
-            for path, rating, at in zip(part["path"], part["rating"], part["at"]):
+            for path, rating, before, at in zip(part["path"], part["rating"], part["held"], part["at"]):
                 at, last = int(at), max(last, int(at))
                 seen = pd.isna(rating)
                 marked = marked or not seen
                 held = self.frames.getValue((path,)) if self.frames.containsKey((path,)) else None
                 if seen and held is None:
-                    self.frames.updateValue((path,), (0, -1))
+                    self.frames.updateValue((path,), (0 if pd.isna(before) else int(before), -1))
                 elif not seen and (held is None or at >= held[1]):
                     self.frames.updateValue((path,), (int(rating), at))
         if timer:
@@ -119,18 +119,28 @@ class _Leaving(StatefulProcessor):
         pass
 
 
-def passed(views: DataFrame, log: DataFrame, idle: str = "30 minutes", late: str = "5 minutes") -> DataFrame:
+def passed(
+    views: DataFrame, log: DataFrame, idle: str = "30 minutes", late: str = "5 minutes", ratings: DataFrame | None = None
+) -> DataFrame:
     """The frames passed over, given out when their folder is left: when
     nothing has been seen or marked in it for ``idle``.
 
-    ``views`` is ``(session, dir, path, ts)``; ``log`` has ``ts``. Needs the
-    RocksDB state store.
+    ``views`` is ``(session, dir, path, ts)``; ``log`` has ``ts``. What frames
+    held before the stream began is in ``ratings`` ``(path, rating)``, a table
+    that's joined to each batch: a frame with a rating isn't passed over. Only
+    what the watermark has closed comes out; the sittings still open at the
+    end are those the batch operator gives besides. Needs the RocksDB state
+    store.
     """
     marked = log.where(F.col("how") != "pass").select(
         "session", scalars.parent("file.path").alias("dir"), F.col("file.path").alias("path"), "rating", "ts"
     )
-    seen = views.select("session", "dir", "path", F.lit(None).cast("int").alias("rating"), "ts")
-    both = seen.unionByName(marked).withWatermark("ts", late).withColumn("at", F.unix_millis("ts"))
+    if ratings is None:
+        views = views.withColumn("held", F.lit(None).cast("int"))
+    else:
+        views = views.join(ratings.select("path", F.col("rating").cast("int").alias("held")), "path", "left")
+    seen = views.select("session", "dir", "path", F.lit(None).cast("int").alias("rating"), "held", "ts")
+    both = seen.unionByName(marked.withColumn("held", F.lit(None).cast("int"))).withWatermark("ts", late).withColumn("at", F.unix_millis("ts"))
     return both.groupBy("session", "dir").transformWithStateInPandas(
         statefulProcessor=_Leaving(int(pd.Timedelta(idle).total_seconds() * 1000)),
         outputStructType="session long, dir string, path string",
