@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from framesift.llm.batches import pieces
 
 # How many pieces and pairs a worker remembers before it starts anew; none longer than these bytes.
-PIECES, PAIRS, LONGEST = 300_000, 400_000, 64
+PIECES, PAIRS, LONGEST = 300_000, 250_000, 64
 BLOCK = 1 << 16
 
 

@@ -220,7 +220,8 @@ def sets(docs: DataFrame, wanted: DataFrame, alike: Alike, doc_id: str, text: st
     """
     slots = 1 << 22
     marked = np.zeros(slots // 64, np.uint64)
-    rows = wanted.where("doc_id IS NOT NULL").select(F.pmod("doc_id", F.lit(slots)).alias("slot")).groupBy(
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("slot")
+    rows = wanted.where("doc_id IS NOT NULL").select(slot).groupBy(
         F.floor(F.col("slot") / 64).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("bits"))
     found = rows.toArrow()  # slots / 64 rows at most
     marked[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(U)
@@ -228,16 +229,16 @@ def sets(docs: DataFrame, wanted: DataFrame, alike: Alike, doc_id: str, text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             nodes, hashes = [], []
-            for name, t in zip(piece.column("doc_id").to_pylist(), piece.column("text").cast(pa.binary()).to_pylist()):
-                if t and (name is None or int(marked[name % slots >> 6]) >> (name & 63) & 1):
+            for at, t in zip(piece.column("slot").to_pylist(), piece.column("text").cast(pa.binary()).to_pylist()):
+                if t and (at is None or int(marked[at >> 6]) >> (at & 63) & 1):
                     found = shingles(t, alike.words)
                     if len(found):
                         nodes.append(digest(found))
                         hashes.append(found.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(hashes, pa.binary())], ["node", "hashes"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "node long, hashes binary")
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return given.select(F.when(F.col("doc_id").isNotNull(), slot).alias("slot"), "text").mapInArrow(run, "node long, hashes binary")
 
 
 def verified(pairs: DataFrame, known: DataFrame, alike: Alike) -> DataFrame:
