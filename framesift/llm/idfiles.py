@@ -38,7 +38,8 @@ def letters(word: bytes) -> bool:
 class WordCoder:
     """A tokenizer applied word by word: this one's normalizer and pattern
     never look across white space, so words seen before needn't be coded
-    again, and letters before a last sign are coded as without it."""
+    again, and letters before a last sign are coded as without it, if the last
+    is still a letter once normalized (the pattern joins marks with signs)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -52,6 +53,18 @@ class WordCoder:
         self.last = np.zeros(65536, bool)  # whether an id ends a run of letters
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.alone: dict[str, bool] = {}  # whether signs after a letter are coded by themselves
+
+    def apart(self, core: bytes) -> bool:
+        """Whether a sign after letters is a run of its own: none joins with ASCII
+        letters; of others, the last decides, and a joined one has no end of run before the sign."""
+        if core.isascii():
+            return True
+        letter = core.decode()[-1]
+        if letter not in self.alone:
+            whole, one, sign = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in (letter + ".", letter, "."))
+            self.alone[letter] = whole == one + sign
+        return self.alone[letter]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian 16-bit numbers."""
@@ -65,7 +78,7 @@ class WordCoder:
         return [b"".join(map(known, ws)) for ws in words]
 
     def add(self, new: set[bytes]) -> None:
-        signed = [w for w in new if w[-1:] in b".,!?;:" and letters(w[:-1])]
+        signed = [w for w in new if w[-1:] in b".,!?;:" and letters(w[:-1]) and self.apart(w[:-1])]
         cores = {w[:-1] for w in signed}.union({w[-1:] for w in signed}).difference(self.known)
         new = new.difference(signed).union(cores)
         plain = [w for w in new if letters(w)]

@@ -259,6 +259,19 @@ def test_token_files(spark, docs, none, tmp_path, monkeypatch):
     assert idfiles.started(idfiles.read(spark, str(tmp_path / "none")).selectExpr("*", "1L AS n_tokens")).count() == 0
 
 
+def test_signs_after_letters_that_end_in_marks():
+    """Every letter before a sign as the library codes it in a whole text."""
+    tokenizer = Tokenizer.from_file(WORDS)
+    every = [c for c in map(chr, range(0x110000)) if c.isalpha() and not 0x3400 <= ord(c) <= 0xD7A3 and not 0x17000 <= ord(c) <= 0x18CFF]
+    words = [c + ".,!?;:"[k % 6] for k, c in enumerate(every)] + [c + s for c in "İक़ড়שׁé" for s in ".,!?;:"] + ["İ.", "क़.", "ড়.", "שׁ.", "ΑΣ.", "İa.", "été,"]
+    found = idfiles.WordCoder(WORDS).encode([w.encode() for w in words])
+    expected = [struct.pack(f"<{len(e.ids)}H", *e.ids) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    assert [w for w, x, y in zip(words, found, expected) if x != y] == []
+    text = " ".join(words[::7])
+    assert idfiles.WordCoder(WORDS).encode([text.encode()]) == [
+        struct.pack(f"<{len(i)}H", *i) for i in [tokenizer.encode(text, add_special_tokens=False).ids]]
+
+
 def test_frames_are_checked():
     docs = [(5, struct.pack("<600H", *range(600))), (None, b"\x01\x00"), (7, struct.pack("<3H", 9, 8, 1))]
     whole = idfiles.frame(2, 3, docs)
