@@ -36,8 +36,8 @@ def letters(word: bytes) -> bool:
 
 
 class WordCoder:
-    """A tokenizer applied word by word: this one's normalizer and pattern
-    never look across white space, so words seen before needn't be coded
+    """A tokenizer applied word by word: this one's normalizer, pattern and
+    special tokens never look across white space, so words seen before needn't be coded
     again, and letters before a last sign are coded as without it, if the last
     is still a letter once normalized (the pattern joins marks with signs)."""
 
@@ -46,7 +46,6 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are text
         vocabulary = self.tokenizer.get_vocab()
         if max(vocabulary.values()) > 65535:
             raise ValueError("ids have to fit 16 bits")

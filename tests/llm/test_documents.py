@@ -272,6 +272,16 @@ def test_signs_after_letters_that_end_in_marks():
         struct.pack(f"<{len(i)}H", *i) for i in [tokenizer.encode(text, add_special_tokens=False).ids]]
 
 
+def test_names_of_special_tokens_are_their_ids():
+    """As the library codes them without any setting, also amid words, signs and spaces of all kinds."""
+    tokenizer = Tokenizer.from_file(WORDS)
+    texts = ["x <|endoftext|> y", "a<|endoftext|>b <|startoftext|>, é.<|endoftext|>.", "<|endoftext|><|endoftext|>", "<|EndOfText|> <|end oftext|>",
+             "a\xa0<|endoftext|>\u3000b\x1c<|startoftext|>\x0bc"]
+    found = idfiles.WordCoder(WORDS).encode([t.encode() for t in texts])
+    assert [list(struct.unpack(f"<{len(i) // 2}H", i)) for i in found] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert found[0] == struct.pack("<3H", 343, 49407, 344)
+
+
 def test_frames_are_checked():
     docs = [(5, struct.pack("<600H", *range(600))), (None, b"\x01\x00"), (7, struct.pack("<3H", 9, 8, 1))]
     whole = idfiles.frame(2, 3, docs)
