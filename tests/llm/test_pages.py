@@ -81,6 +81,20 @@ def test_template_goes(spark):
     assert "Welcome" in found[50] and "Welcome" in found[70]
 
 
+def texts_of(spark, rows):
+    return {r.page_id: r.text for r in wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_template_that_outweighs_short_pages(spark):
+    """Boilerplate of over half of a page, on all pages or on one, is still template."""
+    menu = "".join(f"<div><p>Menu entry number {k} of the site</p></div>" for k in range(20))
+    rows = [(k, "http://short.org/", f"{menu}<div><p>Short {k}</p></div>") for k in range(9)]
+    rows += [(20 + k, "http://one.org/", f"{menu}<div><p>{f'Long {k} ' * (200 if k else 1)}</p></div>") for k in range(9)]
+    found = texts_of(spark, rows)
+    assert all(found[k] == f"Short {k}" for k in range(9))
+    assert all(found[20 + k] == (f"Long {k} " * (200 if k else 1)).strip() for k in range(9))
+
+
 def test_tree_matching():
     a, b = wrappers.slots("<div><p>x</p><p>1</p><p>y</p></div>"), wrappers.slots("<div><p>x</p><p>2</p><p>3</p><p>y</p></div>")
     score, pairs = wrappers.matched(a, b)
