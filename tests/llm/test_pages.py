@@ -95,6 +95,18 @@ def test_template_that_outweighs_short_pages(spark):
     assert all(found[20 + k] == (f"Long {k} " * (200 if k else 1)).strip() for k in range(9))
 
 
+def test_template_of_all_pages(spark):
+    """Long pages count, an odd page voids nothing, and what a few of many pages share stays."""
+    long = "".join(f"<p>Word {k}</p>" for k in range(100))
+    rows = [(k, "http://long.org/", f"<div><p>Welcome</p></div><div><p>{f'Body {k} ' * 12000}</p></div>") for k in range(5)]
+    rows += [(100 + k, "http://odd.org/", site(k)) for k in range(5)] + [(110, "http://odd.org/404", f"<table><tr><td>Not found</table>{long}")]
+    rows += [(200 + k, "http://six.org/", f"<div><p>{'Shared by few' if k < 6 else f'Own {k}'}</p></div><div><p>Page {k}</p></div>") for k in range(40)]
+    found = texts_of(spark, rows)
+    assert all(found[k] == (f"Body {k} " * 12000).strip() for k in range(5))
+    assert all(found[100 + k] == f"Head {k}\nBody {k} is long enough to be what page {k} is about." for k in range(5))
+    assert "Not found" in found[110] and found[203] == "Shared by few\nPage 3"
+
+
 def test_tree_matching():
     a, b = wrappers.slots("<div><p>x</p><p>1</p><p>y</p></div>"), wrappers.slots("<div><p>x</p><p>2</p><p>3</p><p>y</p></div>")
     score, pairs = wrappers.matched(a, b)
