@@ -107,6 +107,13 @@ def test_template_of_all_pages(spark):
     assert "Not found" in found[110] and found[203] == "Shared by few\nPage 3"
 
 
+def test_least_pages(spark):
+    """Every host with four different pages has a wrapper; one with three has none."""
+    rows = [(100 * h + k, f"http://h{h}.org/", f"<div><p>Welcome</p></div><div><p>Page {h} {k}</p></div>") for h in range(30) for k in range(3 + (h > 0))]
+    found = texts_of(spark, rows)
+    assert all(found[100 * h + k] == ("" if h else "Welcome\n") + f"Page {h} {k}" for h in range(30) for k in range(3 + (h > 0)))
+
+
 def test_tree_matching():
     a, b = wrappers.slots("<div><p>x</p><p>1</p><p>y</p></div>"), wrappers.slots("<div><p>x</p><p>2</p><p>3</p><p>y</p></div>")
     score, pairs = wrappers.matched(a, b)
