@@ -67,6 +67,17 @@ def test_elements(html, text):
     assert wrappers.extract(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<article><h2 id='related-work'>Related</h2><p id='social'>Said</p><section id='social-impact'><p>Impact</p></section></article>", "Related\nSaid\nImpact"),
+    ("<article><div class='entry-header'><h1>Title</h1></div><section id='history-of-advertising'>History</section></article>", "Title\nHistory"),
+    ("<article><section id='comments-on-method'>Method</section><h2 class='section header'>Head</h2></article>", "Method\nHead"),
+    ("<h2 id='related-work'>No main</h2><p id='comments'>Text</p>", "No main\nText"),
+    ("<article>A<div class='social-share'><a href='/'>Here</a> <a href='/'>There</a></div><div class='box related'>r</div><p class='ad'>x</p></article>", "A"),
+])
+def test_names_in_the_main_element(html, text):
+    assert wrappers.extract(html) == text
+
+
 def site(k, **more):
     return (f"<div class=top><p>Welcome to the site</p></div><div><h2>Head {k}</h2><p>Read more at our site.</p>"
             f"<p>Body {k} is long enough to be what page {k} is about.</p></div><p>{more.get('tail', 'Made with care')}</p>")
