@@ -278,9 +278,12 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alike: A
     and never paired. Keys of a node meet in one shuffle in which a key that
     many nodes have has one row a part of the input; each key's nodes are
     first compared with one of them. Nodes that came together so need no more
-    comparing; keys that still hold more than one component are compared
-    with other hubs, and after ``alike.rounds`` rounds all their remaining
-    pairs across components are, so no link that joins components is lost.
+    comparing; in keys that still hold more than one component all pairs
+    across components are, so no link that joins components is lost. A
+    passage that falls in the offered segments of m different texts that
+    don't link gives up to m * (m - 1) / 2 such pairs in one key; short
+    sketches refuse most of them for small sets and none for sets of over
+    some 900 shingles, whose wide sketches are tested after.
     """
     about = settled(described(docs, alike, doc_id, text), "sets")
     levels = levels_of(about.where("slot IS NOT NULL"), alike)
