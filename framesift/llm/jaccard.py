@@ -74,7 +74,7 @@ def digest(found: np.ndarray) -> int:
 def keys(found: np.ndarray, levels: np.ndarray, alike: Alike) -> np.ndarray:
     """The keys under which a set is offered: texts that link share one."""
     size, out = len(found), []
-    level = levels[(found & U(alike.slots - 1)).astype(np.intp)].astype(U)
+    level = levels[(found & U(len(levels) - 1)).astype(np.intp)].astype(U)
     # A partner is at most 100 / percent times as large.
     first = most_apart(size + 100 * size // alike.percent, alike.percent) + 1
     for band in bands(size, alike.percent):
