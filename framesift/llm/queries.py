@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import bpe, convnet, idfiles, jaccard, mixing, rules, topk, urls, warc, wrappers
+from framesift.llm import bpe, convnet, idfiles, jaccard, merkle, mixing, rules, topk, urls, warc, wrappers
 from framesift.llm.registry import query
 from framesift.llm.shared import settled
 from framesift.sources.shared import folder
@@ -209,3 +211,61 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "part", "seq", "at", "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.crc32("ids").alias("ids_crc32"))
     return idfiles.started(settled(rows, "starts")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+MERKLE_LEVELS = 8  # of a language's tree in SQL, enough for 8 ** 8 rows; two over the languages
+MERKLE_SQL = """
+WITH RECURSIVE given AS (
+  SELECT row_number() OVER () AS k, doc_id, lang,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS front, text,
+    coalesce((4294967295 - list_reduce(
+      list_transform(range(8 * strlen(doc_id::VARCHAR)), lambda i: (ascii(substr(doc_id::VARCHAR, 1 + (i // 8)::INT, 1)) >> (i % 8)::INT) & 1),
+      lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295)) % 3 = 0, false) AS hit
+  FROM documents),
+hashed AS (
+  SELECT k, doc_id, lang, sha256(front || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN hit THEN sha256(front || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS other
+  FROM given),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, coalesce(other, leaf) AS start FROM hashed),
+n0 AS (SELECT lang, r, leaf AS d, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+""" + "".join(f"""p{k} AS (SELECT lang, r // 8 AS r, string_agg(d, '' ORDER BY r) AS s FROM n{k - 1} WHERE n > 1 GROUP BY ALL),
+n{k} AS (SELECT *, count(*) OVER (PARTITION BY lang) AS n FROM (SELECT lang, r, sha256(s) AS d FROM p{k})),
+""" for k in range(1, MERKLE_LEVELS + 1)) + "subs AS (SELECT lang, d FROM (" + " UNION ALL ".join(
+    f"SELECT lang, d FROM n{k} WHERE n = 1" for k in range(MERKLE_LEVELS + 1)) + """)),
+t0 AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS r, d, count(*) OVER () AS n FROM subs),
+u1 AS (SELECT r // 8 AS r, string_agg(d, '' ORDER BY r) AS s FROM t0 WHERE n > 1 GROUP BY ALL),
+t1 AS (SELECT r, sha256(s) AS d, count(*) OVER () AS n FROM u1),
+u2 AS (SELECT r // 8 AS r, string_agg(d, '' ORDER BY r) AS s FROM t1 WHERE n > 1 GROUP BY ALL),
+top AS (SELECT coalesce((SELECT sha256(s) FROM u2), (SELECT d FROM t1 WHERE n = 1), (SELECT d FROM t0 WHERE n = 1)) AS root),
+f0 AS (SELECT l.k, l.doc_id, l.lang, leaf, l.r, t0.r AS t, t0.d AS subroot, start AS f, '' AS proof
+  FROM leaves l JOIN t0 ON l.lang IS NOT DISTINCT FROM t0.lang),
+""" + "".join(f"""f{j} AS (SELECT k, doc_id, f.lang, leaf, f.r, t, subroot,
+  CASE WHEN s IS NULL THEN f ELSE sha256(substr(s, 1, 64 * ({at} % 8)) || f || substr(s, 64 * ({at} % 8) + 65)) END AS f,
+  proof || CASE WHEN s IS NULL THEN '' ELSE substr(s, 1, 64 * ({at} % 8)) || substr(s, 64 * ({at} % 8) + 65) END AS proof
+  FROM f{j - 1} f LEFT JOIN {table} p ON {on}),
+""" for j, at, table, on in [
+    *((k, f"(f.r // {8 ** (k - 1)})", f"p{k}", f"f.lang IS NOT DISTINCT FROM p.lang AND f.r // {8 ** k} = p.r") for k in range(1, MERKLE_LEVELS + 1)),
+    (MERKLE_LEVELS + 1, "f.t", "u1", "f.t // 8 = p.r"), (MERKLE_LEVELS + 2, "(f.t // 8)", "u2", "f.t // 64 = p.r")]) + f"""
+last AS (SELECT * FROM f{MERKLE_LEVELS + 2})
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM last CROSS JOIN top
+"""
+
+
+@query("op12_merkle_manifest", MERKLE_SQL)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' proofs under a manifest's root, with every third tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    rows = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = F.translate("text", ascii_uppercase, ascii_lowercase)
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    made = merkle.manifest(docs.select(
+        "doc_id", "lang", merkle.row_digest(*rows, F.col("text")).alias("digest"),
+        F.when(hit, merkle.row_digest(*rows, lower)).alias("tampered")), "lang", ["doc_id"])
+    root = F.lit(made.root.hex() if made.root is not None else None).cast("string")
+    found = made.proofs().select(
+        "doc_id", merkle.shown(F.col("digest")).alias("leaf"), merkle.shown(F.col("subroot")).alias("subroot"), root.alias("root"),
+        F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+        merkle.shown(merkle.folded(F.coalesce("tampered", "digest"), F.col("path"))).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
