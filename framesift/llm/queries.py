@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import bpe, convnet, idfiles, jaccard, merkle, mixing, rules, topk, urls, warc, wrappers
+from framesift.llm import bpe, convnet, idfiles, jaccard, merkle, mixing, periodic, rules, topk, urls, warc, wrappers
 from framesift.llm.registry import query
 from framesift.llm.shared import settled
+from framesift.llm.words import words
 from framesift.sources.shared import folder
 
 
@@ -269,3 +270,28 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
         merkle.shown(merkle.folded(F.coalesce("tampered", "digest"), F.col("path"))).alias("folded_root"))
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """The documents, every tenth with its words from some place on repeating."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    hit = (h % 10 == 0) & (F.size("_words") > 0)
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, words(F.col("text"))).alias("_words"))
+    rows = rows.withColumns({"_g": F.floor(h / 10), "_n": F.size("_words").cast("long")}).withColumn("_a", F.when(hit, F.col("_g") % F.col("_n")))
+    rows = rows.withColumn("_p", 1 + F.expr("(_n - _a) div (3 + _g % 8)"))
+    again = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda i: F.get(
+        "_words", F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int")))
+    return rows.select("doc_id", F.when(hit, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' runs of repeated words, and what is left when each is said once."""
+    found = periodic.detected(planted(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("_l"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("_best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "_best.start", "_best.length", "_best.period",
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
