@@ -235,7 +235,7 @@ def detected(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     each by itself, where they lie: equal rows and ids, and nulls in ids, give
     rows alike. Other columns are left out whatever they're called; an empty
     table gives an empty one. Texts are held whole, and for each word in a
-    stretch that may hold runs some 400 bytes of trees.
+    stretch that may hold runs some 750 bytes of trees.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
