@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import bpe, convnet, idfiles, jaccard, merkle, mixing, periodic, rules, topk, urls, warc, wrappers
+from framesift.llm import bpe, convnet, idfiles, jaccard, merkle, mixing, periodic, rules, suffixes, topk, urls, warc, wrappers
 from framesift.llm.registry import query
 from framesift.llm.shared import settled
 from framesift.llm.words import words
@@ -295,3 +295,27 @@ def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "_best.start", "_best.length", "_best.period",
         F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_suffix_dedup", """
+WITH given AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+strings AS (SELECT k, i, md5(substr(x, (2 * i + 1)::INT, 800)) AS m FROM (SELECT k, x, unnest(range(strlen(x) // 2 - 399)) AS i FROM given)),
+again AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY m) AS n FROM strings) WHERE n > 1),
+opened AS (SELECT k, i, coalesce(i - lag(i) OVER (PARTITION BY k ORDER BY i) > 400, true) AS new FROM again),
+numbered AS (SELECT k, i, sum(new::INT) OVER (PARTITION BY k ORDER BY i) AS s FROM opened),
+spans AS (SELECT k, s, min(i) AS a, max(i) + 400 AS b FROM numbered GROUP BY k, s),
+cut AS (
+  SELECT k, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) || [999999999] AS froms, [0] || list(b ORDER BY a) AS tos
+  FROM spans GROUP BY k)
+SELECT doc_id, (strlen(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE array_to_string(list_transform(range(1, len(froms) + 1),
+    lambda j: substr(x, (2 * tos[j] + 1)::INT, (2 * (froms[j] - tos[j]))::INT)), '') END)) AS kept_sha256
+FROM given LEFT JOIN cut USING (k)
+""")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of passages that come more than once."""
+    found = suffixes.deduplicated(table(spark, sf_dir, "documents"), ["doc_id"])
+    values = found.texts.select(
+        *suffixes.KEY, "n_bytes", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.joined(settled(values, "kept")).drop(*suffixes.KEY)
