@@ -138,7 +138,7 @@ class Manifest:
         shuffled.
         """
         wanted = self.leaves if requests is None else self.leaves.join(
-            requests.select("part_number", "rank").distinct(), ["part_number", "rank"], "left_semi")
+            requests.select("part_number", "rank").distinct(), ["part_number", "rank"], "left_semi").select(self.leaves.columns)
         spark, width = self.leaves.sparkSession, self.width
         at = spark.range(1 if self.root is not None else 0).select(
             F.lit(0).cast("long").alias("part_number"), F.lit(0).cast("long").alias("rank"), F.lit(self.root).cast("binary").alias("digest"),
