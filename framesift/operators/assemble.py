@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from framesift import scale
 from framesift import schema as S
 from framesift.functions import scalars, xmp
-from framesift.scale import SMALL, Layout
 
 
 def pictures(listing: DataFrame) -> DataFrame:
@@ -21,12 +20,13 @@ def pictures(listing: DataFrame) -> DataFrame:
     )
 
 
-def of_format(frames: DataFrame, formats: str, layout: Layout = SMALL) -> DataFrame:
+def of_format(frames: DataFrame, formats: str) -> DataFrame:
     """Only the pictures of one kind (``raw``, ``jpeg``, ``png``); all of a
     folder's where it has none of that kind, or for ``all``."""
     if formats == "all":
         return frames
-    held = scale.attach(frames, ["dir"], {"_held": F.bool_or(F.col("kind") == formats)}, layout)
+    folders = frames.groupBy("dir").agg(F.bool_or(F.col("kind") == formats).alias("_held"))
+    held = scale.lookup(frames, folders, ["dir"])
     return held.where((F.col("kind") == formats) | ~F.col("_held")).drop("_held")
 
 
@@ -37,7 +37,7 @@ def with_ratings(frames: DataFrame, sidecars: DataFrame, naming: str = "darktabl
     beside = frames.drop("rating", "problem").withColumn(
         "sidecar_path", scalars.sidecar_path("path", naming)
     )
-    joined = scale.lookup(beside, read, ["sidecar_path"], ["path"])
+    joined = scale.lookup(beside, read, ["sidecar_path"])
     return joined.withColumns(
         {"rating": scalars.clamp_rating(F.col("_read.rating")), "problem": F.col("_read.problem")}
     ).drop("_read", "sidecar_path")
@@ -55,21 +55,21 @@ def with_captures(frames: DataFrame, captures: DataFrame) -> DataFrame:
     own = captures.select(
         "path", scalars.exif_seconds("captured").alias("captured"), *([F.col("exif")] if "exif" in captures.columns else [])
     )
-    return scale.lookup(frames.drop(*(set(own.columns) - {"path"})), own, ["path"], ["path"])
+    return scale.lookup(frames.drop(*(set(own.columns) - {"path"})), own, ["path"])
 
 
 def with_signals(frames: DataFrame, signals: DataFrame) -> DataFrame:
     """Attach what was measured of each frame, by path, as one struct; null
     where it wasn't."""
     one = signals.select("path", F.struct(*(F.col(f.name) for f in S.SIGNALS)).alias("signals"))
-    return scale.lookup(frames.drop("signals"), one, ["path"], ["path"])
+    return scale.lookup(frames.drop("signals"), one, ["path"])
 
 
 def with_suggestions(frames: DataFrame, suggested: DataFrame) -> DataFrame:
     """Attach the suggested rating of ``(path, suggestion)``, for the frames
     still undecided: these and no others."""
     own = suggested.select("path", F.col("suggestion.rating").alias("_suggested"))
-    joined = scale.lookup(frames.drop("suggested"), own, ["path"], ["path"])
+    joined = scale.lookup(frames.drop("suggested"), own, ["path"])
     return joined.withColumn(
         "suggested", F.when(F.col("rating") == S.UNDECIDED, F.col("_suggested")).cast("int")
     ).drop("_suggested")
@@ -83,7 +83,7 @@ def unmeasured(frames: DataFrame, signals: DataFrame) -> DataFrame:
 def restored(frames: DataFrame, failures: DataFrame) -> DataFrame:
     """Put back what sidecars hold where writing a mark failed
     (``(path, on_disk)``)."""
-    joined = scale.lookup(frames, failures.select("path", "on_disk"), ["path"], ["path"])
+    joined = scale.lookup(frames, failures.select("path", "on_disk"), ["path"])
     return joined.withColumn("rating", F.coalesce("on_disk", "rating")).drop("on_disk")
 
 
@@ -97,7 +97,7 @@ def write_back(marks: DataFrame, sidecars: DataFrame, naming: str = "darktable")
     beside = marks.withColumn("sidecar_path", scalars.sidecar_path("path", naming))
     # Placed before they're joined: once a text, whatever is asked of it after.
     old = sidecars.select("sidecar_path", F.col("xmp").alias("_old"), xmp.place("xmp").alias("_place"))
-    joined = scale.lookup(beside, old, ["sidecar_path"], ["path"])
+    joined = scale.lookup(beside, old, ["sidecar_path"])
     there = F.col("_old").isNotNull()
     bad = ~F.col("rating").between(S.REJECT, S.STARS)
     problem = F.when(bad, "there is no such mark").when(
@@ -115,11 +115,11 @@ def failures(written: DataFrame, sidecars: DataFrame) -> DataFrame:
     place: what the sidecar holds, 0 if that can't be read either."""
     failed = written.where(F.col("problem").isNotNull()).select("path", "sidecar_path", "problem")
     read = sidecars.select("sidecar_path", xmp.rating("xmp")["rating"].alias("on_disk"))
-    joined = scale.lookup(failed, read, ["sidecar_path"], ["path"])
+    joined = scale.lookup(failed, read, ["sidecar_path"])
     return joined.select("path", F.coalesce("on_disk", F.lit(0)).alias("on_disk"), "problem")
 
 
-def reidentified(log: DataFrame, files: DataFrame, layout: Layout = SMALL) -> DataFrame:
+def reidentified(log: DataFrame, files: DataFrame) -> DataFrame:
     """Attach ``now_path``, where the file of each log row is today: at its
     path, or else wherever the file of that name, size and capture time has
     gone (the first such). ``files`` is ``(path, size, captured)``."""
@@ -131,12 +131,11 @@ def reidentified(log: DataFrame, files: DataFrame, layout: Layout = SMALL) -> Da
             "_name": scalars.base_name("file.path"),
             "_size": F.col("file.size"),
             "_captured": F.col("file.captured"),
-            "_at": F.col("at"),
         }
     )
     still = here.select(F.col("path").alias("_path"), F.lit(True).alias("_still"))
-    exact = scale.lookup(rows, still, ["_path"], ["_at"], layout)
+    exact = scale.lookup(rows, still, ["_path"])
     keys = moved.select(*(F.col(c).alias(f"_{c}") for c in ("name", "size", "captured")), "_moved")
-    both = scale.lookup(exact, keys, ["_name", "_size", "_captured"], ["_at"], layout)
+    both = scale.lookup(exact, keys, ["_name", "_size", "_captured"])
     found = both.withColumn("now_path", F.when(F.col("_still"), F.col("_path")).otherwise(F.col("_moved")))
-    return found.drop("_path", "_name", "_size", "_captured", "_at", "_still", "_moved")
+    return found.drop("_path", "_name", "_size", "_captured", "_still", "_moved")

@@ -65,7 +65,7 @@ def folders(listing: DataFrame) -> DataFrame:
         F.bool_or(F.col("is_dir") & shown).alias("nested"),
     )
     own = listing.where(F.col("is_dir") & shown).select("parent", "path", "name")
-    joined = scale.lookup(own, inside.withColumnRenamed("_inside", "path"), ["path"], ["path"])
+    joined = scale.lookup(own, inside.withColumnRenamed("_inside", "path"), ["path"])
     return joined.select(
         "parent", "path", "name",
         F.coalesce("pictures", F.lit(0)).cast("bigint").alias("pictures"),

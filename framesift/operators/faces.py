@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from framesift import scale
 from framesift.functions import vision
-from framesift.scale import SMALL, Layout
 
 # How much boxes overlap to be of one face; how small a face is
 # against the largest to be a bystander's.
@@ -63,11 +62,11 @@ def eyelids(landmarks: DataFrame) -> DataFrame:
     return points.select("path", "face", vision.openness(*(gap(eye) for eye in vision.EYES)).alias("open"))
 
 
-def per_frame(faces: DataFrame, layout: Layout = SMALL) -> DataFrame:
+def per_frame(faces: DataFrame) -> DataFrame:
     """How many faces a frame has, how much of it the largest takes up, and
     the least open eyes of those it is of: ``(path, faces, face, open)``."""
     sized = faces.select("path", vision.face_area("bounds").alias("_area"), "open")
-    known = scale.attach(sized, ["path"], {"_largest": F.max("_area")}, layout, by=("_area", "open"))
+    known = scale.lookup(sized, sized.groupBy("path").agg(F.max("_area").alias("_largest")), ["path"])
     subject = F.col("_area") >= F.col("_largest") * BYSTANDER
     return known.groupBy("path").agg(
         F.count(F.lit(1)).alias("faces"),

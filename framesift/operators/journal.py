@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from framesift import scale
 from framesift import schema as S
 from framesift.functions import features, scalars
-from framesift.scale import SMALL, Layout
 
 
 def is_logged() -> Column:
@@ -54,7 +53,7 @@ def final_states(log: DataFrame) -> DataFrame:
     )
 
 
-def compared_pairs(log: DataFrame, layout: Layout = SMALL) -> DataFrame:
+def compared_pairs(log: DataFrame) -> DataFrame:
     """Marks made with other frames on screen, weighed against where those
     ended: per pair ``(path, other)`` how often the marked frame came out
     above it (``wins``), below (``losses``) and level (``ties``)."""
@@ -64,7 +63,7 @@ def compared_pairs(log: DataFrame, layout: Layout = SMALL) -> DataFrame:
     # Combined before they're joined: a pair and mark once, with its count.
     pairs = seen.groupBy("path", "other", "rating").agg(F.count(F.lit(1)).alias("n"))
     ended = last_marks(log).select(F.col("path").alias("other"), F.col("rating").alias("_ended"))
-    against = scale.lookup(pairs, ended, ["other"], ["path", "rating"], layout)
+    against = scale.lookup(pairs, ended, ["other"])
     against = against.withColumn("_ended", F.coalesce("_ended", F.lit(S.UNDECIDED)))
 
     def times(condition: Column) -> Column:
@@ -89,38 +88,40 @@ def outcomes(log: DataFrame) -> DataFrame:
     )
 
 
-def passed(
-    views: DataFrame, log: DataFrame, ratings: DataFrame | None = None, layout: Layout = SMALL
-) -> DataFrame:
+def passed(views: DataFrame, log: DataFrame, ratings: DataFrame | None = None) -> DataFrame:
     """``(session, dir, path)`` of the views whose frame had no rating when
     the sitting's last mark in that folder was made; sittings without a mark
     in a folder give no rows for it.
 
     A frame's rating then is that of its last mark in the log so far,
     whichever sitting made it, or else the one in ``ratings`` ``(path,
-    rating)``, what frames held before the log began.
+    rating)``, what frames held before the log began. Views are put in the order of
+    their frame's marks, at their sitting's end, so a frame with many marks and
+    many sittings has as many rows as both together.
     """
     marked = log.where(F.col("how") != "pass").withColumns(
         {"path": F.col("file.path"), "dir": scalars.parent("file.path")}
     )
     seen = views.select("session", "dir", "path").distinct()
     sittings = marked.groupBy("session", "dir").agg(F.max("seq").alias("_end"))
-    busy = scale.lookup(seen, sittings, ["session", "dir"], ["path"], layout, how="inner")
-    marks = marked.select(F.col("path").alias("_of"), F.col("rating").alias("_rating"), F.col("seq").alias("_seq"))
-    last = (
-        busy.join(marks, (F.col("path") == F.col("_of")) & (F.col("_seq") <= F.col("_end")))
-        .groupBy("session", "path").agg(F.max_by("_rating", "_seq").alias("_last"))
-    )
-    left = scale.lookup(busy, last, ["session", "path"], ["path"])
+    busy = scale.lookup(seen, sittings, ["session", "dir"], "inner")
+    nothing = F.lit(None).cast("string")
+    marks = marked.select("path", F.struct(F.col("seq").alias("seq"), F.lit(0).alias("view"), F.lit(None).cast("bigint").alias("session")).alias("_at"),
+                          "rating", nothing.alias("dir"))
+    ends = busy.select("path", F.struct(F.col("_end").alias("seq"), F.lit(1).alias("view"), F.col("session").cast("bigint").alias("session")).alias("_at"),
+                       F.lit(None).cast("int").alias("rating"), "dir")
+    both = scale.laid(marks.unionByName(ends), ["path"], "_at")
+    left = scale.carry(both, ["path"], "_at", {"_last": F.col("rating")}).where("_at.view = 1")
+    left = left.select(F.col("_at.session").cast(views.schema["session"].dataType).alias("session"), "dir", "path", "_last")
     held = F.col("_last")
     if ratings is not None:
         before = ratings.select("path", F.col("rating").alias("_held"))
-        left = scale.lookup(left, before, ["path"], ["session"])
+        left = scale.lookup(left, before, ["path"])
         held = F.coalesce("_last", "_held")
     return left.where(F.coalesce(held, F.lit(S.UNDECIDED)) == S.UNDECIDED).select("session", "dir", "path")
 
 
-def dwell(views: DataFrame, marks: DataFrame, layout: Layout = SMALL) -> DataFrame:
+def dwell(views: DataFrame, marks: DataFrame) -> DataFrame:
     """Attach to each mark ``(session, path, at)`` the milliseconds its frame
     had been on screen, ``dwell_ms``.
 
@@ -130,11 +131,10 @@ def dwell(views: DataFrame, marks: DataFrame, layout: Layout = SMALL) -> DataFra
     both = views.select("session", "path", "at", F.lit(0).alias("_marks")).unionByName(
         marks.select("session", "path", "at", F.lit(1).alias("_marks"))
     ).withColumn("_order", F.struct("at", "_marks", "path"))
-    before = scale.previous(both, ["session"], "_order", {"_was": F.col("path")}, layout)
+    both = scale.laid(both, ["session"], "_order")
+    before = scale.previous(both, ["session"], "_order", {"_was": F.col("path")})
     arrived = F.when(~F.col("path").eqNullSafe(F.col("_was")), F.col("at"))
-    since = scale.carry(
-        before.withColumn("_arrived", arrived), ["session"], "_order", {"_since": F.col("_arrived")}, layout
-    )
+    since = scale.carry(before.withColumn("_arrived", arrived), ["session"], "_order", {"_since": F.col("_arrived")})
     return since.where(F.col("_marks") == 1).select(
         "session", "path", "at", (F.col("at") - F.col("_since")).alias("dwell_ms")
     )

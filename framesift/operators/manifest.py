@@ -8,12 +8,9 @@ from pyspark.sql import functions as F
 from framesift import scale
 from framesift import schema as S
 from framesift.functions import scalars
-from framesift.scale import SMALL, Layout
 
 
-def copies(
-    shown: DataFrame, files: DataFrame, naming: str = "darktable", layout: Layout = SMALL
-) -> DataFrame:
+def copies(shown: DataFrame, files: DataFrame, naming: str = "darktable") -> DataFrame:
     """Where each picture shown ``(path, to)`` is to be copied: ``(path, to,
     copy, status, sidecar, sidecar_copy)``.
 
@@ -24,8 +21,8 @@ def copies(
     """
     to = shown.withColumn("copy", F.concat_ws("/", "to", scalars.base_name("path")))
     there = files.select(F.col("path").alias("copy"), F.lit(True).alias("_there")).distinct()
-    named = scale.lookup(to, there, ["copy"], ["path"], layout)
-    first = scale.attach(named, ["copy"], {"_first": F.min("path")}, layout)
+    named = scale.lookup(to, there, ["copy"])
+    first = scale.lookup(named, to.groupBy("copy").agg(F.min("path").alias("_first")), ["copy"])
     new = F.col("_there").isNull() & (F.col("path") == F.col("_first"))
     marked = first.withColumns(
         {
@@ -36,7 +33,7 @@ def copies(
     ).drop("_there", "_first")
     have = files.select(F.col("path").alias("_from"), F.lit(True).alias("_has")).distinct()
     wait = files.select(F.col("path").alias("_to"), F.lit(True).alias("_waits")).distinct()
-    beside = scale.lookup(scale.lookup(marked, have, ["_from"], ["path"]), wait, ["_to"], ["path"], layout)
+    beside = scale.lookup(scale.lookup(marked, have, ["_from"]), wait, ["_to"])
     goes = (F.col("status") == "copy") & F.col("_has") & F.col("_waits").isNull()
     return beside.select(
         "path", "to", "copy", "status",

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from framesift import scale
 from framesift import schema as S
 from framesift.functions import vision
-from framesift.scale import SMALL, Layout
 
 # How much of a score is sharpness whatever the eyes.
 _WHATEVER, _OPEN = 0.4, 0.6
 
 
-def _weighed(frames: DataFrame, keys: list[str], counted: Column, layout: Layout) -> DataFrame:
+def _weighed(frames: DataFrame, keys: list[str], counted: Column, over: DataFrame | None | str) -> DataFrame:
     """Attach ``_of``, ``_sharp`` and ``_open`` among the frames ``counted``.
 
     Sharpness is at the eyes if all of them have that, else at the focus point
@@ -33,7 +32,7 @@ def _weighed(frames: DataFrame, keys: list[str], counted: Column, layout: Layout
             "_best_focus": F.max(F.when(F.col("_in"), focus)),
             "_best_either": F.max(F.when(F.col("_in"), F.coalesce(eyes, focus))),
         },
-        layout,
+        over,
     )
 
     def chosen(by_eyes: Column, by_focus: Column, either: Column) -> Column:
@@ -52,10 +51,10 @@ def _weighed(frames: DataFrame, keys: list[str], counted: Column, layout: Layout
     ).drop("_all_eyes", "_all_focus", "_most_open", "_best_eyes", "_best_focus", "_best_either")
 
 
-def standings(frames: DataFrame, group: str = "group", layout: Layout = SMALL) -> DataFrame:
+def standings(frames: DataFrame, group: str = "group") -> DataFrame:
     """Attach each measured frame's ``standing`` among the measured frames of
     its group; null where the frame itself wasn't measured."""
-    weighed = _weighed(frames, ["dir", group], F.col("signals").isNotNull(), layout)
+    weighed = _weighed(frames, ["dir", group], F.col("signals").isNotNull(), "find")
     standing = F.struct(
         F.col("_of").cast("bigint").alias("of"), F.col("_sharp").alias("sharp"), F.col("_open").alias("open")
     )
@@ -71,17 +70,17 @@ def alone() -> Column:
     )
 
 
-def evidence(frames: DataFrame, layout: Layout = SMALL) -> DataFrame:
+def evidence(frames: DataFrame) -> DataFrame:
     """Attach ``standing`` from a table with ``stack`` and ``burst``: a frame
     in neither stands alone, with nothing to be a share of."""
     grouped = frames.withColumn("group", F.coalesce("stack", "burst", "path"))
-    stood = standings(grouped, "group", layout)
+    stood = standings(grouped, "group")
     lone = F.coalesce(F.col("stack"), F.col("burst")).isNull()
     standing = F.when(lone & F.col("signals").isNotNull(), alone()).otherwise(F.col("standing"))
     return stood.withColumn("standing", standing).drop("group")
 
 
-def _best(weighed: DataFrame, keys: list[str], layout: Layout) -> DataFrame:
+def _best(weighed: DataFrame, keys: list[str], over: DataFrame | None) -> DataFrame:
     """Attach ``winner`` and ``margin`` of the frames that are ``_in``."""
     score = (
         F.coalesce("_sharp", F.lit(1.0)) * (_WHATEVER + _OPEN * F.coalesce("_open", F.lit(1.0)))
@@ -89,26 +88,25 @@ def _best(weighed: DataFrame, keys: list[str], layout: Layout) -> DataFrame:
     )
     scored = weighed.withColumn("score", F.when(F.col("_in"), score))
     best_first = F.when(F.col("_in"), F.struct(-F.col("score"), F.col("path")))
-    won = scale.attach(
-        scored, keys, {"winner": F.min_by("path", best_first), "_top": F.max("score")}, layout
-    )
+    won = scale.attach(scored, keys, {"winner": F.min_by("path", best_first), "_top": F.max("score")}, over)
     rest = F.when(F.col("path") != F.col("winner"), F.col("score"))
-    run = scale.attach(won, keys, {"_next": F.max(rest)}, layout)
+    run = scale.attach(won, keys, {"_next": F.max(rest)}, over)
     # Alone it wins by 1.
     lead = F.coalesce(F.col("_top") - F.col("_next"), F.lit(1.0))
     margin = F.greatest(F.least(lead, F.lit(1.0)), F.lit(0.0))
     return run.withColumn("margin", F.when(F.col("winner").isNotNull(), margin)).drop("_top", "_next")
 
 
-def winners(frames: DataFrame, group: str = "group", layout: Layout = SMALL) -> DataFrame:
+def winners(frames: DataFrame, group: str = "group") -> DataFrame:
     """Attach each group's ``winner`` by its measured frames, the ``margin``
     it wins by (0 to 1; 1 alone), and each frame's ``score``."""
     keys = ["dir", group]
-    weighed = _weighed(frames, keys, F.col("signals").isNotNull(), layout)
-    return _best(weighed, keys, layout).drop("_in", "_of", "_sharp", "_open")
+    over = scale.spans(frames, keys)
+    weighed = _weighed(frames, keys, F.col("signals").isNotNull(), over)
+    return _best(weighed, keys, over).drop("_in", "_of", "_sharp", "_open")
 
 
-def suggestions(frames: DataFrame, pick: int = S.PICK, layout: Layout = SMALL) -> DataFrame:
+def suggestions(frames: DataFrame, pick: int = S.PICK) -> DataFrame:
     """The marks suggested for stacks, as ``(dir, stack, path, suggestion)``.
 
     A stack gets them when nothing in it is kept yet and two or more of its
@@ -117,8 +115,9 @@ def suggestions(frames: DataFrame, pick: int = S.PICK, layout: Layout = SMALL) -
     """
     keys = ["dir", "stack"]
     stacked = frames.where(F.col("stack").isNotNull())
+    over = scale.spans(stacked, keys)
     undecided = F.col("rating") == S.UNDECIDED
-    ready = scale.attach(
+    counted = scale.attach(
         stacked,
         keys,
         {
@@ -126,15 +125,16 @@ def suggestions(frames: DataFrame, pick: int = S.PICK, layout: Layout = SMALL) -
             "_open_count": F.count_if(undecided),
             "_measured": F.count_if(undecided & F.col("signals").isNotNull()),
         },
-        layout,
-    ).where(
+        over,
+    )
+    ready = counted.where(
         undecided
         & (F.col("_kept") == 0)
         & (F.col("_open_count") >= 2)
         & (F.col("_measured") == F.col("_open_count"))
     )
-    weighed = _weighed(ready, keys, F.lit(True), layout)
-    won = _best(weighed, keys, layout)
+    weighed = _weighed(ready, keys, F.lit(True), over)
+    won = _best(weighed, keys, over)
     suggestion = F.struct(
         F.when(F.col("path") == F.col("winner"), pick).otherwise(S.REJECT).cast("int").alias("rating"),
         F.lit("signals").alias("by"),
@@ -143,25 +143,19 @@ def suggestions(frames: DataFrame, pick: int = S.PICK, layout: Layout = SMALL) -
     return won.select("dir", "stack", "path", suggestion.alias("suggestion"))
 
 
-def accepted(suggested: DataFrame, current: DataFrame, layout: Layout = SMALL) -> DataFrame:
+def accepted(suggested: DataFrame, current: DataFrame) -> DataFrame:
     """The marks that taking the suggestion on each ``current (path)`` frame
     comes to, as ``(path, rating)``: the model's one, or all of its stack's,
     the frames kept first.
 
     ``suggested`` is ``(dir, stack, path, suggestion)``, stack null for none.
     """
-    chosen = scale.lookup(
-        suggested, current.select("path", F.lit(True).alias("_chosen")).distinct(), ["path"], ["path"]
-    )
+    chosen = scale.lookup(suggested, current.select("path", F.lit(True).alias("_chosen")).distinct(), ["path"])
     by_stack = F.col("suggestion.by") == "signals"
-    opened = scale.attach(
-        chosen.withColumn("_unit", F.coalesce("stack", "path")),
-        ["dir", "_unit"],
-        {"_any": F.bool_or(F.when(by_stack, F.col("_chosen")))},
-        layout,
-    )
+    opened = chosen.where(by_stack & F.col("_chosen")).select("dir", "stack", F.lit(True).alias("_any")).distinct()
+    found = scale.lookup(chosen, opened, ["dir", "stack"])
     taken = F.when(by_stack, F.col("_any")).otherwise(F.col("_chosen"))
-    return opened.where(taken).select("dir", "path", F.col("suggestion.rating").alias("rating"))
+    return found.where(taken).select("dir", "path", F.col("suggestion.rating").alias("rating"))
 
 
 def accepting_order() -> list[Column]:
@@ -169,19 +163,16 @@ def accepting_order() -> list[Column]:
     return [F.col("dir"), F.desc("rating"), F.col("path")]
 
 
-def chosen_winners(
-    frames: DataFrame, choices: DataFrame, pick: int = S.PICK, layout: Layout = SMALL
-) -> DataFrame:
+def chosen_winners(frames: DataFrame, choices: DataFrame, pick: int = S.PICK) -> DataFrame:
     """The marks that choosing ``choices (path)`` as their stacks' winners
     comes to, ``(dir, path, was, now)``: the winner keeps its stars or is
     picked, the rest of its stack is rejected. Only what changes."""
     stacked = frames.where(F.col("stack").isNotNull())
-    chosen = scale.lookup(
-        stacked, choices.select("path", F.lit(True).alias("_chosen")).distinct(), ["path"], ["path"]
-    )
-    named = scale.attach(chosen, ["dir", "stack"], {"_any": F.bool_or("_chosen")}, layout)
+    chosen = scale.lookup(stacked, choices.select("path", F.lit(True).alias("_chosen")).distinct(), ["path"])
+    opened = chosen.where("_chosen").select("dir", "stack").distinct()
+    named = scale.lookup(chosen, opened, ["dir", "stack"], "inner")
     now = F.when(F.col("_chosen"), F.when(F.col("rating") > 0, F.col("rating")).otherwise(pick))
-    marks = named.where(F.col("_any")).select(
+    marks = named.select(
         "dir", "path", F.col("rating").alias("was"), F.coalesce(now, F.lit(S.REJECT)).cast("int").alias("now")
     )
     return marks.where(F.col("was") != F.col("now"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from framesift import scale
 from framesift.functions import predicates
-from framesift.scale import SMALL, Layout
 
 
 def bad_terms(terms: DataFrame) -> DataFrame:
@@ -33,11 +32,11 @@ def readable(terms: DataFrame) -> DataFrame:
     )
 
 
-def matches(frames: DataFrame, terms: DataFrame, layout: Layout = SMALL) -> DataFrame:
+def matches(frames: DataFrame, terms: DataFrame) -> DataFrame:
     """The frames each folder's saved searches let through, as ``(search_id,
     dir, path)``: every term of the search must match."""
     # Tested as they're joined: what doesn't match goes no further.
-    joined = scale.lookup(frames, readable(terms), ["dir"], ["path"], layout, how="inner")
+    joined = scale.lookup(frames, readable(terms), ["dir"], "inner")
     hit = F.forall("terms", predicates.test_term)
     return joined.where(hit).select("search_id", "dir", "path")
 

@@ -5,25 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framesift import scale
 from framesift.functions import predicates, scalars, vision
 from framesift.operators import assemble, counts, manifest, ranking, searches, stacks
 from framesift.plans import adapters as A
 from framesift.plans.registry import query
-from framesift.scale import Layout
 
 FRAMES = f"WITH {A.FRAMES_SQL}"
 STACKED = f"{FRAMES}, {A.runs_sql()}"
 
 
-def _frames(spark: SparkSession, sf: str) -> tuple[DataFrame, Layout]:
-    """The frames, and whether any folder is too big for a task."""
-    events = A.table(spark, sf, "events")
-    return A.frames(spark, sf), Layout.of(events, "user_id")
+def _laid(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The frames in the order of their folders and names, with what else is needed."""
+    return scale.laid(A.frames(spark, sf).select("dir", "path", *columns), ["dir"], "path")
 
 
-def _stacked(spark: SparkSession, sf: str) -> tuple[DataFrame, Layout]:
-    frames, layout = _frames(spark, sf)
-    return stacks.by_time(frames, A.GAP, layout=layout), layout
+def _stacked(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return stacks.by_time(_laid(spark, sf, "captured", *columns), A.GAP)
 
 
 # -- names and settings ----------------------------------------------------------
@@ -142,7 +140,7 @@ def word_search(spark, sf):
     FROM stacked GROUP BY dir""",
 )
 def mark_filters(spark, sf):
-    stacked, _ = _stacked(spark, sf)
+    stacked = _stacked(spark, sf, "rating", "signals", "suggested", "name", "exif")
     kept = {
         "undecided": predicates.mark_filter("undecided"),
         "rejects": predicates.mark_filter("rejects"),
@@ -162,8 +160,7 @@ def mark_filters(spark, sf):
     SELECT path, kind FROM asked WHERE kind = 'png' OR NOT held""",
 )
 def format_filter(spark, sf):
-    frames, layout = _frames(spark, sf)
-    return assemble.of_format(frames, "png", layout).select("path", "kind")
+    return assemble.of_format(A.frames(spark, sf), "png").select("path", "kind")
 
 
 _TERMS_SQL = """terms AS (
@@ -205,9 +202,8 @@ def _terms(spark, sf) -> DataFrame:
       WHEN 1 THEN lower(coalesce(model, '')) LIKE '%ilce-2%' ELSE rating >= 1 END""",
 )
 def saved_searches(spark, sf):
-    frames, layout = _frames(spark, sf)
-    with_stack = frames.withColumn("stack", F.lit(None).cast("string"))
-    return searches.matches(with_stack, _terms(spark, sf), layout)
+    with_stack = A.frames(spark, sf).withColumn("stack", F.lit(None).cast("string"))
+    return searches.matches(with_stack, _terms(spark, sf))
 
 
 @query(
@@ -362,8 +358,7 @@ def shoot_profile(spark, sf):
 
 @query("time_stacks", f"{STACKED} SELECT path, stack FROM stacked")
 def time_stacks(spark, sf):
-    stacked, _ = _stacked(spark, sf)
-    return stacked.select("path", "stack")
+    return _stacked(spark, sf).select("path", "stack")
 
 
 @query(
@@ -382,10 +377,8 @@ def time_stacks(spark, sf):
     FROM runs""",
 )
 def similar_stacks(spark, sf):
-    vectors = A.table(spark, sf, "embeddings")
-    layout = Layout.of(vectors, "label")
-    looks = A.looks(spark, sf)
-    return stacks.stack(looks, "similar", gap=60, similar_gap=300, alike=35, layout=layout).select("path", "stack")
+    looks = scale.laid(A.looks(spark, sf).select("dir", "path", "captured", "signature"), ["dir"], "path")
+    return stacks.stack(looks, "similar", gap=60, similar_gap=300, alike=35).select("path", "stack")
 
 
 _HAND_SQL = """hand AS (
@@ -418,8 +411,7 @@ def hand_stacks(spark, sf):
         F.concat(F.lit("/shoots/"), F.col("user_id").cast("string")).alias("dir"),
         (event % 5).alias("stack"), name.alias("name"), event.alias("at"),
     )
-    frames, layout = _frames(spark, sf)
-    return stacks.stack(frames, "manual", hand_stacks=hand, layout=layout).select("path", "stack")
+    return stacks.stack(A.frames(spark, sf), "manual", hand_stacks=hand).select("path", "stack")
 
 
 _SHOWN_SQL = f"""{STACKED}, marked AS (
@@ -433,16 +425,15 @@ _SHOWN_SQL = f"""{STACKED}, marked AS (
 )"""
 
 
-def _shown(spark, sf) -> tuple[DataFrame, Layout]:
-    stacked, layout = _stacked(spark, sf)
+def _shown(spark, sf) -> DataFrame:
+    stacked = _stacked(spark, sf, "rating", "exif", "suggested")
     let_through = (F.col("rating") != 0) & predicates.number_term("iso", ">", 1000)
-    return stacks.shown(stacked, let_through, layout=layout), layout
+    return stacks.shown(stacked, let_through)
 
 
 @query("visible_frames", f"{_SHOWN_SQL} SELECT path, matching, representative, visible FROM seen")
 def visible_frames(spark, sf):
-    shown, _ = _shown(spark, sf)
-    return shown.select("path", "matching", "representative", "visible")
+    return _shown(spark, sf).select("path", "matching", "representative", "visible")
 
 
 @query(
@@ -454,8 +445,7 @@ def visible_frames(spark, sf):
     SELECT path, previous, next, CASE WHEN matching THEN path ELSE coalesce(next, previous, path) END AS settled FROM near""",
 )
 def neighbours(spark, sf):
-    shown, layout = _shown(spark, sf)
-    return stacks.neighbours(shown, layout).select("path", "previous", "next", "settled")
+    return stacks.neighbours(_shown(spark, sf)).select("path", "previous", "next", "settled")
 
 
 # -- ranking -------------------------------------------------------------------
@@ -503,9 +493,8 @@ _GROUPED_SQL = f"""{STACKED}, grouped AS (SELECT *, coalesce(stack, path) AS grp
         CASE WHEN shadows >= 0.1 THEN 'black' END) AS flags FROM stood""",
 )
 def standings(spark, sf):
-    frames, layout = _frames(spark, sf)
-    stacked = stacks.by_time(frames, A.GAP, "stack", layout).withColumn("burst", F.col("stack"))
-    seen = ranking.evidence(stacked, layout).where(F.col("standing").isNotNull())
+    stacked = _stacked(spark, sf, "signals").withColumn("burst", F.col("stack"))
+    seen = ranking.evidence(stacked).where(F.col("standing").isNotNull())
     return seen.select(
         "path", F.col("standing.of").alias("of_n"), F.round("standing.sharp", 9).alias("sharp"),
         F.round("standing.open", 9).alias("open_share"), ranking.soft().alias("soft"),
@@ -514,8 +503,8 @@ def standings(spark, sf):
 
 
 def burst_winners(spark: SparkSession, sf: str) -> DataFrame:
-    stacked, layout = _stacked(spark, sf)
-    won = ranking.winners(stacked.where(F.col("stack").isNotNull()), "stack", layout)
+    stacked = _stacked(spark, sf, "signals")
+    won = ranking.winners(stacked.where(F.col("stack").isNotNull()), "stack")
     return won.where(F.col("winner").isNotNull()).select(
         "dir", "stack", "path", F.round("score", 9).alias("score"), "winner", F.round("margin", 9).alias("margin")
     )
@@ -539,8 +528,8 @@ def _burst_winners(spark, sf):
     SELECT dir, path, round(score, 9) AS score, winner, round(margin, 9) AS margin FROM won""",
 )
 def order_winners(spark, sf):
-    layout = Layout.of(A.table(spark, sf, "lineitem"), "l_orderkey")
-    won = ranking.winners(A.order_frames(spark, sf), "group", layout)
+    frames = scale.laid(A.order_frames(spark, sf), ["dir", "group"], "path")
+    won = ranking.winners(frames, "group")
     return won.select("dir", "path", F.round("score", 9).alias("score"), "winner", F.round("margin", 9).alias("margin"))
 
 
@@ -554,14 +543,14 @@ _SUGGESTED_SQL = f"""{STACKED}, ready AS (
 )"""
 
 
-def _suggested(spark, sf) -> tuple[DataFrame, DataFrame, Layout]:
-    stacked, layout = _stacked(spark, sf)
-    return stacked, ranking.suggestions(stacked, layout=layout), layout
+def _suggested(spark, sf) -> tuple[DataFrame, DataFrame]:
+    stacked = _stacked(spark, sf, "rating", "signals")
+    return stacked, ranking.suggestions(stacked)
 
 
 @query("stack_suggestions", f"{_SUGGESTED_SQL} SELECT stack, path, suggestion, round(margin, 9) AS margin FROM suggested")
 def stack_suggestions(spark, sf):
-    _, suggested, _ = _suggested(spark, sf)
+    _, suggested = _suggested(spark, sf)
     return suggested.select(
         "stack", "path", F.col("suggestion.rating").alias("suggestion"), F.round("suggestion.confidence", 9).alias("margin")
     )
@@ -573,7 +562,7 @@ def stack_suggestions(spark, sf):
     LEFT JOIN suggested g ON g.path = s.path WHERE s.rating = 0""",
 )
 def suggested_frames(spark, sf):
-    stacked, suggested, _ = _suggested(spark, sf)
+    stacked, suggested = _suggested(spark, sf)
     return (
         assemble.with_suggestions(stacked, suggested)
         .where(predicates.mark_filter("undecided"))
@@ -587,9 +576,9 @@ def suggested_frames(spark, sf):
     SELECT g.dir, g.path, g.suggestion AS rating FROM suggested g SEMI JOIN chosen c ON c.dir = g.dir AND c.stack = g.stack""",
 )
 def accepted_suggestions(spark, sf):
-    _, suggested, layout = _suggested(spark, sf)
+    _, suggested = _suggested(spark, sf)
     current = suggested.where(F.col("suggestion.rating") > 0).select("path")
-    return ranking.accepted(suggested, current, layout)
+    return ranking.accepted(suggested, current)
 
 
 @query(
@@ -603,9 +592,9 @@ def accepted_suggestions(spark, sf):
     ) SELECT dir, path, was, now FROM marks WHERE was <> now""",
 )
 def chosen_winners(spark, sf):
-    stacked, layout = _stacked(spark, sf)
+    stacked = _stacked(spark, sf, "rating", "kind")
     choices = stacked.where(F.col("kind") == "png").select("path")
-    return ranking.chosen_winners(stacked, choices, layout=layout)
+    return ranking.chosen_winners(stacked, choices)
 
 
 # -- lists to act on -----------------------------------------------------------

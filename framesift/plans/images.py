@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from framesift import scale
 from framesift.functions import vision
 from framesift.operators import faces, pixels
 from framesift.plans import adapters as A
@@ -20,11 +21,8 @@ PIXELS = f"WITH {A.PIXELS_SQL}"
     SELECT path, round(list_avg(list_transform(range(1, 65), lambda i: abs(a[i] - b[i] - shift))), 9) AS distance FROM shifted""",
 )
 def look_distances(spark, sf):
-    from framesift import scale
-    from framesift.scale import Layout
-
-    layout = Layout.of(A.table(spark, sf, "embeddings"), "label")
-    seen = scale.previous(A.looks(spark, sf), ["dir"], "path", {"_before": F.col("signature")}, layout)
+    looks = scale.laid(A.looks(spark, sf).select("dir", "path", "signature"), ["dir"], "path")
+    seen = scale.previous(looks, ["dir"], "path", {"_before": F.col("signature")})
     distance = vision.signature_distance("signature", "_before")
     return seen.where(F.col("signature").isNotNull() & F.col("_before").isNotNull()).select(
         "path", F.round(distance, 9).alias("distance")

@@ -9,7 +9,6 @@ from framesift.functions import features, scalars, xmp
 from framesift.operators import assemble, journal, learn
 from framesift.plans import adapters as A
 from framesift.plans.registry import query
-from framesift.scale import Layout
 from framesift.sources import journal as log_files
 from framesift.sources import measures, models
 
@@ -84,9 +83,7 @@ def log_round_trip(spark, sf):
     FROM pairs p LEFT JOIN ended e ON e.path = p.other GROUP BY p.path, p.other""",
 )
 def compared_pairs(spark, sf):
-    log = A.decisions(spark, sf)
-    # A frame is in as many pairs as its folder has marks.
-    return journal.compared_pairs(log, Layout.of(A.table(spark, sf, "events"), "user_id"))
+    return journal.compared_pairs(A.decisions(spark, sf))
 
 
 @query(
@@ -108,8 +105,7 @@ def suggestion_outcomes(spark, sf):
       LEFT JOIN last l ON l.session = d.session AND l.path = d.path WHERE coalesce(l.rating, 0) = 0""",
 )
 def passed_frames(spark, sf):
-    views = A.views(spark, sf)
-    return journal.passed(views, A.decisions(spark, sf), layout=Layout.of(views, "session"))
+    return journal.passed(A.views(spark, sf), A.decisions(spark, sf))
 
 
 @query(
@@ -127,7 +123,7 @@ def dwell_times(spark, sf):
     marks = A.decisions(spark, sf).where(F.col("how") == "mark").select(
         "session", F.col("file.path").alias("path"), (F.col("at") + 1500).alias("at")
     )
-    return journal.dwell(views, marks, Layout.of(views, "session"))
+    return journal.dwell(views, marks)
 
 
 @query(
@@ -158,9 +154,7 @@ def moved_files(spark, sf):
         .select(F.when(user % 2 == 0, F.col("file.path")).otherwise(moved).alias("path"), "file.size", "file.captured")
         .distinct()
     )
-    # A name, size and time may be most of the log's: they repeat in folders.
-    layout = Layout.of(log.select("file.size"), "size")
-    return assemble.reidentified(log, files, layout).select("seq", F.col("file.path").alias("path"), "now_path")
+    return assemble.reidentified(log, files).select("seq", F.col("file.path").alias("path"), "now_path")
 
 
 # -- sidecars ------------------------------------------------------------------

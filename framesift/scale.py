@@ -1,160 +1,143 @@
 """Keeping every task's share of the rows bounded, whatever the keys look like.
 
-Most folders, stacks and sittings are small, and for those a window over the
-key is the cheapest plan there is. But one folder may hold a third of
-everything. :class:`Layout` is the answer to "is any group too big for one
-task?"; the operators ask it for group aggregates (:func:`attach`), for values
-carried along an ordering (:func:`carry`) and for many-to-one joins
-(:func:`lookup`), and get the window plan when no group is hot, or a plan that
-cuts hot groups into bounded pieces when one is. Results are the same.
-
-Cutting reads its rows more than once, so they are written to the shared folder
-first: plans stay small however many of these follow one another, and a lost
-executor costs its own tasks only.
+Most folders, stacks and sittings are small, and a window over them is the
+cheapest plan there is. But one may hold most of everything. So rows whose
+order matters are laid out first (:func:`laid`): keys with more than a task's
+share of the rows are cut into blocks of their order, and nothing else changes.
+Windows then are by key and block, in the same plan for rows of all keys, and
+what goes over a block's edge is told by one row a block: the values a block
+ends with (:func:`carry`, :func:`previous`), or the groups that lie in several
+(:func:`attach`). Whatever the table's size there are a few blocks for each
+shuffle partition, so these rows are put together in the driver and broadcast.
+
+Shares are of the table, so small tables and big ones are treated alike. Many-to-one
+joins (:func:`lookup`) are plain joins, whose hot keys adaptive execution deals
+over tasks.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framesift.sources import shared
 
-# The most rows of one key that go to one task.
-HOT_ROWS = 2_000_000
-# Hot keys are cut about this many times finer than the limit asks, since the
-# cuts are where hashes fall and so uneven.
-_FINER = 4
-# As many as an array can have are told apart.
-_HALVINGS = [1 << bit for bit in reversed(range(31))]
+# Says which block of its key a row is in, from 1; 0 where the key isn't cut.
+BLOCK = "_block"
+# Blocks of a task's share of the rows, and rows looked at to find where each ends.
+BLOCKS, LOOKS = 4, 8
 
 
-@dataclass(frozen=True)
-class Layout:
-    """Whether some key has more rows than one task should hold."""
-
-    split: bool = False
-    rows: int = HOT_ROWS
-
-    @classmethod
-    def of(cls, df: DataFrame, *keys: str, rows: int = HOT_ROWS) -> Layout:
-        """Count the keys (a pruned scan, combined map-side) and see."""
-        hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
-        return cls(split=not hot.isEmpty(), rows=rows)
-
-
-SMALL = Layout()
+def laid(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The rows with ``_block`` if some key has more than its share: more rows than
+    a shuffle partition has on average. Without such a key, the rows as they are.
 
+    Such keys are fewer than partitions. Where there are any, the rows are
+    written to the shared folder once, bucketed by key and block, so that what
+    follows shuffles nothing; give it the columns that are needed. Cuts are found
+    among rows picked by hash, the same on every run.
+    """
+    spark, rows = rows.sparkSession, rows.drop(BLOCK)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+    if not total or most * parts <= total:
+        return rows
+    hot = counts.where(F.col("_n") * parts > total).select(*keys)
+    every = max(total // (parts * BLOCKS * LOOKS), 1)
+    looked = lookup(rows.select(*keys, order), F.broadcast(hot), keys, "left_semi").where(F.pmod(F.xxhash64(order), F.lit(every)) == 0)
+    found = looked.groupBy(*keys).agg(F.array_sort(F.collect_set(order)).alias("_all")).select(
+        *keys, F.filter("_all", lambda _, at: at % LOOKS == LOOKS - 1).alias("_cuts"))
+    cuts = _few(found)
+    longest = max((len(c) for c in cuts.column("_cuts").to_pylist()), default=0)
+    # How many cuts are at or before the row, by halving.
+    at = F.aggregate(
+        F.array(*(F.lit(1 << bit) for bit in reversed(range(max(longest, 1).bit_length())))),
+        F.lit(0),
+        lambda done, step: F.when(F.get("_cuts", done - 1 + step) <= F.col(order), done + step).otherwise(done),
+    )
+    cut = lookup(rows, _back(spark, cuts), keys).withColumn(BLOCK, F.when(F.col("_cuts").isNull(), 0).otherwise(at + 1)).drop("_cuts")
+    block = F.col(BLOCK).alias(BLOCK, metadata={"keys": list(keys), "order": order})
+    name = f"laid_{uuid.uuid4().hex}"
+    cut.select(*rows.columns, block).write.bucketBy(parts, *keys, BLOCK).option("path", shared.folder(spark, "laid")).saveAsTable(name)
+    return spark.table(name)
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder, with no plan behind them."""
-    spark = df.sparkSession
-    path = shared.folder(spark, "settled")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def is_laid(rows: DataFrame) -> bool:
+    return BLOCK in rows.columns
 
-def _on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Join on keys that may be null; the right side's copies are dropped."""
-    renamed = right
-    condition = F.lit(True)
-    for key in keys:
-        renamed = renamed.withColumnRenamed(key, f"_on_{key}")
-        condition = condition & left[key].eqNullSafe(F.col(f"_on_{key}"))
-    return left.join(renamed, condition, how).drop(*(f"_on_{key}" for key in keys))
 
+def _same(left: Sequence[Column], right: Sequence[Column]) -> Column:
+    return reduce(Column.__and__, (a.eqNullSafe(b) for a, b in zip(left, right)))
 
-def _hot(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
-    """The hot keys and their counts: never more than total/rows of them."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
 
+def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join rows to a table with one row a key, or few, on keys that may be null;
+    the table's copies of the keys are dropped."""
+    renamed = table.withColumnsRenamed({key: f"_on_{key}" for key in keys})
+    condition = _same([rows[key] for key in keys], [renamed[f"_on_{key}"] for key in keys])
+    return rows.join(renamed, condition, how).drop(*(f"_on_{key}" for key in keys))
 
-def lookup(
-    rows: DataFrame,
-    table: DataFrame,
-    keys: Sequence[str],
-    by: Sequence[str],
-    layout: Layout = SMALL,
-    how: str = "left",
-) -> DataFrame:
-    """Join rows to a table with one row a key, or few.
 
-    Rows of a hot key are dealt over several tasks by a hash of ``by``, and what
-    the table has for that key (only) is repeated for each.
-    """
-    if not layout.split:
-        return _on(rows, table, keys, how)
-    return _dealt(settled(rows), table, keys, by, layout, how)
+def _few(rows: DataFrame) -> pa.Table:
+    """A row or so a block, in the driver; plans then don't hold what made them."""
+    return rows.toArrow()
 
 
-def _dealt(
-    rows: DataFrame, table: DataFrame, keys: Sequence[str], by: Sequence[str], layout: Layout, how: str
-) -> DataFrame:
-    pieces = _hot(rows, keys, layout.rows).select(
-        *keys, F.ceil(F.col("_n") / layout.rows).cast("int").alias("_pieces")
-    )
-    dealt = _on(rows, pieces, keys, "left").withColumn(
-        "_piece", F.pmod(F.xxhash64(*by), F.coalesce("_pieces", F.lit(1))).cast("int")
-    )
-    repeated = _on(table, pieces, keys, "left").withColumn(
-        "_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))
-    )
-    joined = _on(dealt.drop("_pieces"), repeated.drop("_pieces"), [*keys, "_piece"], how)
-    return joined.drop("_piece")
+def _back(spark: SparkSession, rows: pa.Table) -> DataFrame:
+    return F.broadcast(spark.createDataFrame(rows))
 
 
-def attach(
-    df: DataFrame,
-    keys: Sequence[str],
-    aggregates: Mapping[str, Column],
-    layout: Layout = SMALL,
-    by: Sequence[str] = ("path",),
-) -> DataFrame:
-    """Give every row its group's aggregates."""
-    if not layout.split:
-        w = Window.partitionBy(*keys)
-        return df.withColumns({name: agg.over(w) for name, agg in aggregates.items()})
-    df = settled(df)
-    groups = df.groupBy(*keys).agg(*(agg.alias(name) for name, agg in aggregates.items()))
-    return _dealt(df, groups, keys, by, layout, "left")
+def spans(rows: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """The groups of rows that lie in more than one block; None if there are none.
+    Groups have to be stretches of the order: what the rows are laid out by,
+    or runs in it. Then only the first and last of a block can."""
+    if not is_laid(rows):
+        return None
+    laid_by = rows.schema[BLOCK].metadata
+    order, group = laid_by["order"], F.struct(*keys)
+    ends = _few(rows.where(F.col(BLOCK) > 0).groupBy(*(F.col(k).alias(f"_k{j}") for j, k in enumerate(laid_by["keys"])), BLOCK).agg(
+        F.min_by(group, order).alias("first"), F.max_by(group, order).alias("last")))
+    ends = ends.sort_by([(c, "ascending") for c in ends.column_names[:-2]])
+    firsts, lasts = ends.column("first").to_pylist(), ends.column("last").to_pylist()
+    over = [k for k in range(len(lasts) - 1) if lasts[k] == firsts[k + 1] and (k == 0 or lasts[k] != lasts[k - 1])]
+    if not over:
+        return None
+    found = ends.column("last").combine_chunks().take(over)
+    return _back(rows.sparkSession, pa.Table.from_arrays(found.flatten(), schema=pa.schema(list(found.type))))
 
 
-def blocks(df: DataFrame, keys: Sequence[str], order: str, layout: Layout) -> DataFrame:
-    """Number contiguous pieces of each hot key's ordering, as ``_block``.
+def attach(rows: DataFrame, keys: Sequence[str], aggregates: Mapping[str, Column], over: DataFrame | None | str = "find") -> DataFrame:
+    """Give every row its group's aggregates.
 
-    The cuts are the rows whose hash says so, about one in ``rows``/4: the same
-    on every run, so a retried task cuts where the first one did. Other keys
-    are one block, 0.
+    A group in one block is a window; those of several (``over``, as
+    :func:`spans` finds them) are aggregated by themselves, combined in the tasks.
     """
-    every = max(layout.rows // _FINER, 1)
-    hot = _hot(df, keys, layout.rows).select(*keys)
-    cuts = (
-        _on(df.select(*keys, order), hot, keys, "left_semi")
-        .where(F.pmod(F.xxhash64(order), F.lit(every)) == 0)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_set(order)).alias("_cuts"))
-    )
-    found = _on(df, cuts, keys, "left")
-    # How many cuts are at or before the row, by halving.
-    at = F.aggregate(
-        F.array(*(F.lit(step) for step in _HALVINGS)),
-        F.lit(0),
-        lambda done, step: F.when(
-            F.get("_cuts", done - 1 + step) <= F.col(order), done + step
-        ).otherwise(done),
-    )
-    return found.withColumn("_block", F.when(F.col("_cuts").isNull(), 0).otherwise(at)).drop("_cuts")
+    if not is_laid(rows):
+        w = Window.partitionBy(*keys)
+        return rows.withColumns({name: agg.over(w) for name, agg in aggregates.items()})
+    over = spans(rows, keys) if isinstance(over, str) else over
+    w = Window.partitionBy(*dict.fromkeys([*rows.schema[BLOCK].metadata["keys"], BLOCK, *keys]))
+    within = rows.withColumns({name: agg.over(w) for name, agg in aggregates.items()})
+    if over is None:
+        return within
+    whole = lookup(rows, over, keys, "left_semi").groupBy(*keys).agg(*(agg.alias(f"_w_{name}") for name, agg in aggregates.items()))
+    joined = lookup(within, _back(rows.sparkSession, _few(whole.withColumn("_over", F.lit(True)))), keys)
+    return joined.withColumns(
+        {name: F.when(F.col("_over"), F.col(f"_w_{name}")).otherwise(F.col(name)) for name in aggregates}
+    ).drop("_over", *(f"_w_{name}" for name in aggregates))
 
 
 def carry(
-    df: DataFrame,
+    rows: DataFrame,
     keys: Sequence[str],
     order: str,
     values: Mapping[str, Column],
-    layout: Layout = SMALL,
     *,
     inclusive: bool = True,
     backward: bool = False,
@@ -162,51 +145,37 @@ def carry(
     """Give every row the last non-null of each value up to it, in order.
 
     ``inclusive`` counts the row itself; ``backward`` looks from the end, for
-    the next one instead of the last.
+    the next one instead of the last. Laid-out rows have to be laid out by
+    these keys and this order.
     """
     direction = F.desc if backward else F.asc
-    to = Window.currentRow if inclusive else -1
-    if not layout.split:
-        w = Window.partitionBy(*keys).orderBy(direction(order))
-        w = w.rowsBetween(Window.unboundedPreceding, to)
-        return df.withColumns({name: F.last(v, ignorenulls=True).over(w) for name, v in values.items()})
-    cut = blocks(settled(df.withColumns({f"_v_{name}": v for name, v in values.items()})), keys, order, layout)
-    inner = Window.partitionBy(*keys, "_block").orderBy(direction(order))
-    inner = inner.rowsBetween(Window.unboundedPreceding, to)
-    # What each block ends with, carried over the blocks before: one row a block.
+    block = [BLOCK] if is_laid(rows) else []
+    w = Window.partitionBy(*keys, *block).orderBy(direction(order))
+    w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    within = rows.withColumns({name: F.last(v, ignorenulls=True).over(w) for name, v in values.items()})
+    if not block:
+        return within
+    # The last value in each block; then the last before each block.
     ends = F.min_by if backward else F.max_by
-    edges = cut.groupBy(*keys, "_block").agg(
-        *(
-            ends(f"_v_{name}", F.when(F.col(f"_v_{name}").isNotNull(), F.col(order))).alias(f"_e_{name}")
-            for name in values
-        )
-    )
-    outer = Window.partitionBy(*keys).orderBy(direction("_block"))
-    outer = outer.rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.select(
-        *keys,
-        "_block",
-        *(F.last(f"_e_{name}", ignorenulls=True).over(outer).alias(f"_c_{name}") for name in values),
-    )
-    within = cut.withColumns({f"_i_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inner) for n in values})
-    joined = _on(within, edges, [*keys, "_block"], "left")
-    return joined.withColumns({n: F.coalesce(f"_i_{n}", f"_c_{n}") for n in values}).drop(
-        "_block", *(f"{p}{n}" for n in values for p in ("_v_", "_i_", "_c_"))
-    )
-
-
-def previous(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    values: Mapping[str, Column],
-    layout: Layout = SMALL,
-) -> DataFrame:
+    edges = _few(rows.where(F.col(BLOCK) > 0).groupBy(*keys, BLOCK).agg(
+        *(ends(v, F.when(v.isNotNull(), F.col(order))).alias(f"_e_{name}") for name, v in values.items())))
+    found, last, of = [], {}, None
+    for edge in edges.sort_by([*((k, "ascending") for k in keys), (BLOCK, "descending" if backward else "ascending")]).to_pylist():
+        if of != (of := [edge[k] for k in keys]):
+            last = {}
+        found.append({**edge, **{f"_e_{name}": last.get(name) for name in values}})
+        last.update({name: edge[f"_e_{name}"] for name in values if edge[f"_e_{name}"] is not None})
+    before = _back(rows.sparkSession, pa.Table.from_pylist(found, edges.schema))
+    joined = lookup(within, before, [*keys, BLOCK])
+    return joined.withColumns({name: F.coalesce(name, f"_e_{name}") for name in values}).drop(*(f"_e_{name}" for name in values))
+
+
+def previous(rows: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, Column]) -> DataFrame:
     """Give every row the values of the row before it (null on the first)."""
-    if not layout.split:
+    if not is_laid(rows):
         w = Window.partitionBy(*keys).orderBy(order)
-        return df.withColumns({name: F.lag(v).over(w) for name, v in values.items()})
+        return rows.withColumns({name: F.lag(v).over(w) for name, v in values.items()})
     # A struct is never null, so the last non-null one is the row before's.
     whole = F.struct(*(v.alias(name) for name, v in values.items()))
-    carried = carry(df, keys, order, {"_before": whole}, layout, inclusive=False)
-    return carried.withColumns({name: F.col(f"_before.{name}") for name in values}).drop("_before")
+    carried = carry(rows, keys, order, {"_row_before": whole}, inclusive=False)
+    return carried.withColumns({name: F.col(f"_row_before.{name}") for name in values}).drop("_row_before")
