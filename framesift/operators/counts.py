@@ -10,6 +10,9 @@ from framesift import schema as S
 from framesift.functions import scalars
 
 
+COUNTED = ["picks", "rejects", "undecided", *(f"stars_{n}" for n in range(1, S.STARS + 1)), "total"]
+
+
 def _count(condition: Column) -> Column:
     return F.count_if(condition).cast("bigint")
 

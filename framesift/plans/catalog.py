@@ -1,6 +1,6 @@
 """Every registered query."""
 
-from framesift.plans import culling, images, marks, streams  # noqa: F401
+from framesift.plans import culling, images, marks, streams, suggesting  # noqa: F401
 from framesift.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -86,17 +86,11 @@ def stream_last_marks(spark, sf):
       count(*) FILTER (rating = 0) AS undecided, count(*) AS total FROM last GROUP BY dir""",
 )
 def stream_counts(spark, sf):
-    out = A.scratch(spark, "counts")
     last: list[int] = []
-
-    def publish(found: DataFrame, batch_id: int) -> None:
-        found.write.mode("overwrite").parquet(f"{out}/{batch_id}")
-        last.append(batch_id)
-
-    table = live.MarkTable(spark, A.scratch(spark, "mark-table"), whole_every=3)
+    table = live.LiveCounts(spark, A.scratch(spark, "live-counts"), parts=8)
     stream = log_files.read_stream(spark, _log_folder(spark, sf), 2)
-    live.live_counts(stream, table, A.scratch(spark, "counts-state"), publish).awaitTermination()
-    return spark.read.parquet(f"{out}/{last[-1]}").select("dir", "picks", "rejects", "undecided", "total")
+    live.live_counts(stream, table, A.scratch(spark, "counts-state"), lambda _, batch_id: last.append(batch_id)).awaitTermination()
+    return table.read(last[-1]).select("dir", "picks", "rejects", "undecided", "total")
 
 
 @query(
@@ -110,18 +104,11 @@ def stream_search(spark, sf):
     measured = frames.where(F.col("signals").isNotNull()).select("path", "signals")
     measured.repartition(4).write.parquet(source)
     stream = spark.readStream.schema(measured.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    out = A.scratch(spark, "search")
-    last: list[int] = []
-
-    def publish(found: DataFrame, batch_id: int) -> None:
-        found.write.mode("overwrite").parquet(f"{out}/{batch_id}")
-        last.append(batch_id)
-
-    terms = [("focus", ">", 100), ("shut", None, "no")]
-    folders.search_filling_in(
-        stream, frames, terms, A.scratch(spark, "search-table"), A.scratch(spark, "search-state"), publish
-    ).awaitTermination()
-    return spark.read.parquet(f"{out}/{last[-1]}")
+    last: list[DataFrame] = []
+    before = frames.withColumn("signals", F.lit(None).cast(measured.schema["signals"].dataType))
+    search = folders.LiveSearch(before, [("focus", ">", 100), ("shut", None, "no")], A.scratch(spark, "live-search"), parts=8)
+    folders.search_filling_in(stream, search, A.scratch(spark, "search-state"), lambda found, _: last.append(found)).awaitTermination()
+    return last[-1]
 
 
 _BURST_FOLDERS = """WITH gaps AS (

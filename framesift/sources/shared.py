@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 # What a local session uses where no folder is named, by application.
@@ -24,3 +24,10 @@ def folder(spark: SparkSession, name: str) -> str:
             _OWN[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         root = _OWN[context.applicationId]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, with no plan behind them."""
+    path = folder(rows.sparkSession, "settled")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -11,6 +11,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from framesift.functions import predicates, scalars
 from framesift.operators import assemble, counts
 from framesift.operators.stacks import GAP
+from framesift.sources.shared import settled
+from framesift.streaming.kept import Kept
 
 
 def arriving(spark: SparkSession, root: str, files_per_batch: int = 10_000) -> DataFrame:
@@ -46,26 +48,59 @@ def bursts(captures: DataFrame, gap: float = GAP, late: str = "1 minute", *keys:
     )
 
 
+class LiveSearch:
+    """How many frames a search lets through, kept as measures come in.
+
+    Frames are kept in parts by folder with whether the search lets them
+    through; a batch of measures looks at the frames it measures, in their
+    parts, and changes the counters by what became of them.
+    """
+
+    def __init__(self, frames: DataFrame, terms: Sequence[tuple], root: str, parts: int = 64):
+        """``frames`` as they were before the first measure; they're written in parts once."""
+        self.spark, self.root = frames.sparkSession, root.rstrip("/")
+        self.condition, self.measuring = predicates.search(terms), predicates.needs_measuring(terms)
+        self.fields = [c for c in frames.columns if c != "signals"]
+        self.frames = Kept(self.spark, f"{self.root}/frames", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.schema), parts)
+        self.base = frames.withColumn("part", self.frames.part_of(F.col("dir")))
+
+    def counters(self, batch_id: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/counters/{batch_id}")
+
+    def _begin(self) -> None:
+        """What there is before the first batch, as batch 0."""
+        self.frames.write(self.base, 0, range(self.frames.parts))
+        counts.matching(self.frames.read(0), self.condition, self.measuring).write.mode("overwrite").parquet(f"{self.root}/counters/0")
+
+    def take(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """Take in measures ``(path, signals)``; the counters after them. A batch delivered again replaces itself."""
+        at = batch_id + 1  # 0 is what there was before
+        if batch_id == 0:
+            self._begin()
+        last = batch.withColumn("_order", F.monotonically_increasing_id()).groupBy("path").agg(F.max_by("signals", "_order").alias("_new"))
+        last = settled(last.withColumn("part", self.frames.part_of(scalars.parent("path"))))
+        touched = sorted(r.part for r in last.select("part").distinct().collect())  # at most so many as there are parts
+        held = self.frames.read(at - 1, touched)
+        both = settled(held.join(last.drop("part"), "path", "left").withColumn("_hit", F.col("_new").isNotNull()))
+        was = both.where("_hit").drop("_new", "_hit")
+        now = both.where("_hit").withColumn("signals", F.col("_new")).drop("_new", "_hit")
+        names = ["matching", "total", "unmeasured"]
+        moved = counts.matching(now, self.condition, self.measuring).unionByName(
+            counts.matching(was, self.condition, self.measuring).select(*((-F.col(c)).alias(c) for c in names)))
+        self.counters(at - 1).unionByName(moved).agg(*(F.sum(c).cast("bigint").alias(c) for c in names)).write.mode("overwrite").parquet(
+            f"{self.root}/counters/{at}")
+        self.frames.write(both.withColumn("signals", F.coalesce("_new", "signals")).select(*held.columns), at, touched)
+        return self.counters(at)
+
+
 def search_filling_in(
-    signals: DataFrame,
-    frames: DataFrame,
-    terms: Sequence[tuple],
-    table: str,
-    checkpoint: str,
-    publish: Callable[[DataFrame, int], None],
+    signals: DataFrame, search: LiveSearch, checkpoint: str, publish: Callable[[DataFrame, int], None]
 ) -> StreamingQuery:
-    """As measures ``(path, signals)`` stream in, append them to the table at
-    ``table`` and publish how many frames a search lets through so far, and how
-    many it can't be answered for yet."""
-    spark = frames.sparkSession
-    condition, measuring = predicates.search(terms), predicates.needs_measuring(terms)
+    """As measures ``(path, signals)`` stream in, publish how many frames a
+    search lets through so far, and how many it can't be answered for yet."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        # A batch delivered again replaces itself.
-        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
-        known = spark.read.parquet(table).groupBy("path").agg(F.max_by("signals", "batch").alias("signals"))
-        joined = frames.drop("signals").join(known, "path", "left")
-        publish(counts.matching(joined, condition, measuring), batch_id)
+        publish(search.take(batch, batch_id), batch_id)
 
     return (
         signals.writeStream.foreachBatch(each)

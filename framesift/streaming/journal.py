@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
 
 from framesift.functions import scalars
 from framesift.operators import counts
+from framesift.sources.shared import settled
+from framesift.streaming.kept import Kept
 
 
 def deduplicated(log: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -30,42 +33,55 @@ def live_marks(log: DataFrame) -> DataFrame:
     )
 
 
-class MarkTable:
-    """Each file's last mark, kept batch by batch: a batch adds its own, and
-    every so often one holds all there is, so no read goes back further."""
+class LiveCounts:
+    """Each file's last mark and each folder's counts, kept batch by batch.
 
-    def __init__(self, spark: SparkSession, root: str, whole_every: int = 16):
-        self.spark, self.root, self.whole_every = spark, root.rstrip("/"), whole_every
+    A batch takes the marks it replaces out of its folders' counts and puts its
+    own in. It reads and writes the parts that its folders are in, and no
+    others: at most ``parts`` of each table, however long the log.
+    """
 
-    def _last(self, marks: DataFrame) -> DataFrame:
-        return marks.groupBy("path").agg(F.max_by("rating", "seq").alias("rating"), F.max("seq").alias("seq"))
+    def __init__(self, spark: SparkSession, root: str, parts: int = 64):
+        self.marks = Kept(spark, f"{root}/marks", "path string, dir string, rating int, seq struct<at: bigint, batch: int, made: struct<at: bigint, batch: bigint, line: bigint>>", parts)
+        self.counts = Kept(spark, f"{root}/counts", f"dir string, {', '.join(f'{c} bigint' for c in counts.COUNTED)}", parts)
 
     def read(self, batch_id: int) -> DataFrame:
-        """The marks as they stood after a batch."""
-        first = batch_id - batch_id % self.whole_every
-        return self._last(self.spark.read.parquet(*(f"{self.root}/{i}" for i in range(first, batch_id + 1))))
-
-    def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        """Take in a batch. One delivered again replaces itself."""
-        made = F.col("at") if "seq" not in batch.columns else F.col("seq")
-        new = batch.select(
-            F.col("file.path").alias("path"), "rating", F.struct("at", F.lit(batch_id).alias("batch"), made.alias("made")).alias("seq")
-        )
-        if batch_id and batch_id % self.whole_every == 0:
-            new = new.unionByName(self.read(batch_id - 1).select("path", "rating", "seq"))
-        self._last(new).write.mode("overwrite").parquet(f"{self.root}/{batch_id}")
+        """Every folder's counts after a batch."""
+        return self.counts.read(batch_id).drop("part")
+
+    def take(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """Take in a batch; the counts of the folders it changed. One delivered
+        again replaces itself."""
+        made = "seq" if "seq" in batch.columns else "at"
+        if not isinstance(batch.schema[made].dataType, StructType):  # a number orders as the log's own order does
+            batch = batch.withColumn("seq", F.struct("at", F.lit(0).cast("bigint"), F.col(made).cast("bigint")))
+        named = batch.select(
+            F.col("file.path").alias("path"), scalars.parent("file.path").alias("dir"), F.col("rating").cast("int").alias("rating"),
+            F.struct("at", F.lit(batch_id).alias("batch"), F.col("seq").cast("struct<at: bigint, batch: bigint, line: bigint>").alias("made")).alias("seq"))
+        new = named.groupBy("path", "dir").agg(F.max_by("rating", "seq").alias("rating"), F.max("seq").alias("seq"))
+        new = settled(new.withColumn("part", self.marks.part_of(F.col("dir"))))
+        touched = sorted(r.part for r in new.select("part").distinct().collect())  # at most so many as there are parts
+        old = self.marks.read(batch_id - 1, touched)
+        before = old.select("path", F.col("rating").alias("_rating"), F.col("seq").alias("_seq"))
+        changed = new.join(before, "path", "left").where("_seq IS NULL OR seq > _seq")
+        changed = settled(changed.select("path", "dir", "rating", "seq", "part", "_rating", F.col("_seq").isNull().alias("_fresh")))
+        in_, out = counts.counts(changed, "dir"), counts.counts(changed.where("NOT _fresh").withColumn("rating", F.col("_rating")), "dir")
+        moved = in_.unionByName(out.select("dir", *((-F.col(c)).alias(c) for c in counts.COUNTED)))
+        held = self.counts.read(batch_id - 1, touched)
+        kept = held.drop("part").unionByName(moved).groupBy("dir").agg(*(F.sum(c).cast("bigint").alias(c) for c in counts.COUNTED))
+        self.counts.write(kept.withColumn("part", self.counts.part_of(F.col("dir"))), batch_id, touched)
+        rest = old.join(changed.select("path"), "path", "left_anti")
+        self.marks.write(rest.unionByName(changed.select("path", "dir", "rating", "seq", "part")), batch_id, touched)
+        return self.counts.read(batch_id, touched).drop("part").join(changed.select("dir").distinct(), "dir", "left_semi")
 
 
 def live_counts(
-    log: DataFrame, table: MarkTable, checkpoint: str, publish: Callable[[DataFrame, int], None]
+    log: DataFrame, table: LiveCounts, checkpoint: str, publish: Callable[[DataFrame, int], None]
 ) -> StreamingQuery:
-    """Keep the mark table current and publish the counts of the marks as they
-    stand after every batch, per folder."""
+    """Keep the counts current and publish, after every batch, those of the folders it changed."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        table.upsert(batch, batch_id)
-        marks = table.read(batch_id).withColumn("dir", scalars.parent("path"))
-        publish(counts.counts(marks, "dir"), batch_id)
+        publish(table.take(batch, batch_id), batch_id)
 
     return (
         log.writeStream.foreachBatch(each)
