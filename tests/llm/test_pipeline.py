@@ -6,6 +6,7 @@ from collections import Counter
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 from test_documents import _ranks, brute, counted, listed
 
 import corpus_pipeline
@@ -85,3 +86,23 @@ def test_run_is_its_stages_and_takes_empty_tables(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_row_numbers_stay_whatever_the_splits(spark, tmp_path):
+    """Two readings of the same files number rows alike, however they're cut and whatever columns are read."""
+    path = str(tmp_path / "documents")
+    rows = [(None if k % 9 == 0 else k % 400, f"text {k} " * 50, k) for k in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(5).write.option("parquet.block.size", 65536).parquet(path)
+    before = {r.n_chars: r["_row"] for r in corpus_pipeline.numbered(spark.read.parquet(path)).collect()}
+    assert len(set(before.values())) == 3000
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        docs = spark.read.parquet(path)
+        assert docs.rdd.getNumPartitions() > 5
+        assert {r.n_chars: r["_row"] for r in corpus_pipeline.numbered(docs).select("n_chars", "_row").collect()} == before
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    # What isn't a table is written once.
+    made = corpus_pipeline.numbered(spark.range(50).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit(1).alias("_row")))
+    assert made.select("_row").distinct().count() == 50 and made.columns == ["doc_id", "text", "_row"]
