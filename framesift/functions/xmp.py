@@ -61,7 +61,10 @@ class _Reader:
     def start(self, name: str, _: dict) -> None:
         if name not in (f"{RDF_NAMESPACE} Description", f"{XMP_NAMESPACE} Rating"):
             return
-        at = _NAME.match(self.data, self.parser.CurrentByteIndex).end()
+        tag = _NAME.match(self.data, self.parser.CurrentByteIndex)
+        if tag is None:  # it comes out of an entity, and has no place in the text
+            return
+        at = tag.end()
         ours = name.startswith(XMP_NAMESPACE)
         if not ours and self.description is None:
             self.description = (at, self.meaning("xmp"))

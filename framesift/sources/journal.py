@@ -67,7 +67,10 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 def append(marks: DataFrame, path: str, failed: DataFrame | None = None, order: str = "at") -> None:
     """Append the marks that get a row, in the order they were made. Ranges of
-    time are what's shuffled by, so that no sitting is one task's."""
+    time are what's shuffled by, so that no sitting is one task's.
+
+    Marks of one millisecond in two appends stand in the order of the appending
+    drivers' clocks: two drivers at once need clocks that agree."""
     rows = journal.loggable(marks, failed)
     ordered = rows.repartitionByRange("at", order).sortWithinPartitions("at", order)
     lines = ordered.select(

@@ -131,3 +131,15 @@ def test_later_append_wins_a_millisecond(spark, tmp_path):
         row = empty | {"at": 7, "session": 1, "file": ("/a/1.ARW", 1, 1, None), "rating": rating, "was": 0, "how": "mark"}
         journal.append(spark.createDataFrame([row], S.DECISIONS), path)
         assert reduced.last_marks(journal.read(spark, path)).first().rating == rating
+
+
+def test_descriptions_out_of_entities(spark):
+    """They have no place in the text: nothing is found there, and nothing crashes."""
+    named = 'xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:xmp="http://ns.adobe.com/xap/1.0/"'
+    inner = "<rdf:Description xmp:Rating='3'/>"
+    alone = f'<!DOCTYPE x [<!ENTITY d "{inner}">]><rdf:RDF {named}>&d;</rdf:RDF>'
+    beside = alone.replace("&d;", f"&d;{inner.replace('3', '4')}")
+    texts = spark.createDataFrame([(0, alone), (1, beside)], "id int, xmp string").orderBy("id")
+    rows = texts.select(xmp.rating("xmp").alias("r"), xmp.with_rating("xmp", F.lit(5)).alias("w")).collect()
+    assert rows[0].r.rating is None and rows[0].r.problem and rows[0].w is None
+    assert rows[1].r.rating == 4 and rows[1].w == beside.replace("'4'", "'5'")
