@@ -1,5 +1,7 @@
 """The small cases with known answers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,18 +26,35 @@ def value(spark, column):
 # -- stacks
 
 
-SCENE_A, SCENE_B = [10] * 96 + [200] * 96, [200] * 96 + [10] * 96
-
-
-@pytest.mark.parametrize(
-    "mode, expected", [("time", [[0, 1, 2], [4, 5]]), ("similar", [[0, 1, 2, 3, 4]]), ("off", [])]
-)
-def test_runs(spark, mode, expected):
-    times = [0.0, 0.2, 0.4, 10.0, 14.0, 14.5, None, 15.0]
-    rows = [("/d", i, f"{i}", t, SCENE_A if i < 5 else SCENE_B) for i, t in enumerate(times)]
+def joined(mode, before, after):
+    """Whether a frame goes on with the one before it; frames are (time, look)."""
+    if mode == "off" or before[0] is None or after[0] is None:
+        return False
+    gap = abs(after[0] - before[0])
+    if mode == "time" or before[1] is None or after[1] is None:
+        return gap <= stacks.GAP
+    shift = sum(x - y for x, y in zip(before[1], after[1])) / len(after[1])
+    apart = sum(abs(x - y - shift) for x, y in zip(before[1], after[1])) / len(after[1])
+    return gap <= stacks.SIMILAR_GAP and apart < stacks.ALIKE
+
+
+@pytest.mark.parametrize("mode", ["time", "similar", "off"])
+def test_runs(spark, mode):
+    r = random.Random(12)
+    faces = [[r.randint(0, 255) for _ in range(12)] for _ in range(3)]
+    shots, at = [], 0.0
+    for k in range(240):
+        at += r.choice([0.0, 0.5, 1.5, 2.5, 12.0, 45.0])
+        look = [v + r.choice([0, 3]) for v in faces[k // 9 % 3]]
+        shots.append((None if k % 17 == 5 else at, None if k % 13 == 7 else look))
+    expected = [[0]]
+    for k in range(1, len(shots)):
+        expected.append([k]) if not joined(mode, shots[k - 1], shots[k]) else expected[-1].append(k)
+    rows = [("/d", k, f"{k:04}", t, look) for k, (t, look) in enumerate(shots)]
     frames = spark.createDataFrame(rows, "dir string, i int, path string, captured double, signature array<int>")
     found = stacks.stack(frames, mode).where("stack is not null").groupBy("stack").agg(F.sort_array(F.collect_list("i")).alias("m"))
-    assert sorted(r.m for r in found.collect()) == expected
+    assert sorted(r.m for r in found.collect()) == [m for m in expected if len(m) > 1]
+    assert (mode == "off") == (max(map(len, expected)) == 1)
 
 
 def test_without_looks_a_burst_is_still_one(spark):
@@ -96,27 +115,50 @@ def test_nearest_match(spark):
 # -- ranking
 
 
-def winner(spark, *signals):
-    rows = [("/d", f"{i}", "g", s) for i, s in enumerate(signals)]
-    frames = spark.createDataFrame(rows, f"dir string, path string, group string, signals {SIGNALS}")
-    found = ranking.winners(ranking.standings(frames)).orderBy("path").collect()
-    return int(found[0].winner), found[0].margin, [r.standing for r in found]
-
-
 def signals(eyes=None, focus=None, open=None, highlights=0.0):
     return (focus, eyes, open, highlights, 0.0, 0, 0.0)
 
 
+def weighed(group):
+    """Each frame's shares, and which wins by how much; frames are (eyes, focus, open, highlights)."""
+    by = [e if all(f[0] is not None for f in group) else None for e, *_ in group]
+    if by[0] is None:
+        by = [f[1] for f in group]
+        if any(v is None for v in by):
+            by = [f[0] if f[0] is not None else f[1] for f in group]
+    best, wide = max((v for v in by if v is not None), default=None), max((f[2] for f in group if f[2] is not None), default=None)
+
+    def share(v, most):
+        return None if v is None else v / most if most > 0 else 1.0
+
+    sharp, opened = [share(v, best) for v in by], [share(f[2], wide) for f in group]
+    scores = [(1 if s is None else s) * (0.4 + 0.6 * (1 if o is None else o)) - f[3] for s, o, f in zip(sharp, opened, group)]
+    order = sorted(range(len(group)), key=lambda k: (-scores[k], k))
+    lead = scores[order[0]] - scores[order[1]] if len(group) > 1 else 1
+    return sharp, opened, order[0], min(max(lead, 0), 1)
+
+
 def test_winners(spark):
-    a, b, blink = signals(30.0, 50.0, 0.9), signals(40.0, 20.0, 0.9), signals(44.0, 20.0, 0.1)
-    best, margin, standing = winner(spark, a, b, blink)
-    assert best == 1 and 0.1 < margin < 1
-    assert standing[2].of == 3 and standing[2].sharp == 1.0 and standing[2].open == pytest.approx(0.1 / 0.9)
-    assert standing[0].sharp == pytest.approx(30 / 44)
-    assert winner(spark, a, signals(None, 60.0, None))[0] == 1
-    assert winner(spark, signals(30.0, 50.0, 0.9, 0.2), a)[0] == 1
-    assert winner(spark, a, a)[:2] == (0, 0.0)
-    assert winner(spark, a)[:2] == (0, 1.0)
+    r = random.Random(9)
+
+    def measure():
+        return r.choice([None, r.uniform(0, 80), r.uniform(0, 80), 0.0])
+
+    groups = [[(measure() if k % 3 else r.uniform(1, 90), measure() if k % 2 else r.uniform(1, 90), r.choice([None, r.random()]), r.choice([0.0, 0.1, 0.4]))
+               for _ in range(1 + k % 5)] for k in range(60)]
+    groups += [[(5.0, 6.0, 0.7, 0.0)] * 2, [(None, None, None, 0.0)] * 2]
+    rows = [("/d", f"{k:03}/{i}", f"{k:03}", signals(*f)) for k, group in enumerate(groups) for i, f in enumerate(group)]
+    frames = spark.createDataFrame(rows, f"dir string, path string, group string, signals {SIGNALS}")
+    found = {}
+    for row in ranking.winners(ranking.standings(frames)).orderBy("path").collect():
+        found.setdefault(row.group, []).append(row)
+    for k, group in enumerate(groups):
+        sharp, opened, best, lead = weighed(group)
+        seen = found[f"{k:03}"]
+        assert {x.winner for x in seen} == {f"{k:03}/{best}"} and seen[0].margin == pytest.approx(lead)
+        assert [x.standing.of for x in seen] == [len(group)] * len(group)
+        assert [x.standing.sharp for x in seen] == [None if v is None else pytest.approx(v) for v in sharp]
+        assert [x.standing.open for x in seen] == [None if v is None else pytest.approx(v) for v in opened]
 
 
 def test_suggested_accepted_and_chosen(spark):
