@@ -133,6 +133,30 @@ def training_due(spark, sf):
     return spark.createDataFrame(held, "learned_rows bigint, due boolean, enough boolean")
 
 
+_N = len(A.FEATURES_SQL)
+_EVENED = [f'("{n}" - m{i}) / s{i}' for i, n in enumerate(A.FEATURES_SQL)] + ["1.0::DOUBLE"]
+
+
+@query(
+    "star_weights",
+    f"""WITH RECURSIVE {marks.FINAL_SQL}, evening AS (
+      SELECT {", ".join(f'avg("{n}") AS m{i}, CASE WHEN var_pop("{n}") > 1e-12 THEN sqrt(var_pop("{n}")) ELSE 1 END AS s{i}' for i, n in enumerate(A.FEATURES_SQL))} FROM last
+    ), kept AS (SELECT rating, {", ".join(f"{x} AS x{i}" for i, x in enumerate(_EVENED))} FROM last CROSS JOIN evening WHERE rating > 0
+    ), sums AS (
+      SELECT count(*) AS n, [{", ".join("[" + ", ".join(f"sum(x{i} * x{j})" for j in range(_N + 1)) + "]" for i in range(_N + 1))}] AS a,
+        [{", ".join(f"sum(x{i} * rating)" for i in range(_N + 1))}] AS b FROM kept
+    ), steps (k, w) AS (
+      SELECT 0, [{", ".join(["0.0::DOUBLE"] * (_N + 1))}] UNION ALL
+      SELECT k + 1, list_transform(range(1, {_N + 2}), lambda i: w[i] - 0.5::DOUBLE * ((list_inner_product(a[i], w) - b[i]) / (2 * n)
+        + CASE WHEN i <= {_N} THEN 0.001::DOUBLE ELSE 0 END * w[i])) FROM steps CROSS JOIN sums WHERE k < 300
+    ) SELECT i::INT AS feature, round(w[i + 1], 6) AS weight FROM steps, (SELECT unnest(range({_N + 1})) AS i) WHERE k = 300""",
+)
+def star_weights(spark, sf):
+    """What a kept frame's stars go by, learned from the log in one pass."""
+    weights = learn.star_weights(learn.examples(A.decisions(spark, sf)))
+    return spark.createDataFrame(list(enumerate(weights)), "feature int, weight double").withColumn("weight", F.round("weight", 6))
+
+
 # -- from files to stacks, measured once ----------------------------------------
 
 
