@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framesift.functions import predicates
 from framesift.operators import assemble, learn, ranking, stacks
 from framesift.plans import adapters as A
 from framesift.plans import culling, marks
@@ -73,6 +74,28 @@ def _both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
     return stacked, by_stack, learn.suggestions(seen, marks._FIXED, by_stack)
 
 
+@query(
+    "folded_stacks",
+    f"""{culling._SUGGESTED_SQL}, both_ AS (
+      SELECT s.*, s.kind <> 'png' AS matching, CASE WHEN s.rating = 0 THEN g.suggestion END AS mark
+      FROM (SELECT * EXCLUDE (kind), kind FROM stacked) s LEFT JOIN suggested g ON g.path = s.path
+    ), ranked AS (
+      SELECT *, row_number() OVER (
+        PARTITION BY dir, coalesce(stack, path), matching ORDER BY rating DESC, coalesce(mark > 0, false) DESC, path) AS best FROM both_
+    ) SELECT path, mark AS suggested, mark IS NOT NULL AS is_suggested, mark IS NULL AS isnt_suggested,
+      stack IS NOT NULL AND matching AND best = 1 AS representative,
+      matching AND (stack IS NULL OR stack LIKE '%3.___' OR best = 1) AS visible FROM ranked""",
+)
+def folded_stacks(spark, sf):
+    """What is on show with some stacks unfolded, those suggested standing for equals."""
+    stacked = culling._stacked(spark, sf, "rating", "signals", "kind")
+    seen = assemble.with_suggestions(stacked, ranking.suggestions(stacked))
+    shown = stacks.shown(seen, F.col("kind") != "png", F.col("stack").like("%3.___"))
+    return shown.select(
+        "path", "suggested", predicates.mark_filter("suggested").alias("is_suggested"),
+        predicates.flag_term("suggested", False).alias("isnt_suggested"), "representative", "visible")
+
+
 @query("model_suggestions", f"{_MODEL_SQL} SELECT dir, path, suggestion, round(confidence, 7) AS confidence FROM modelled")
 def model_suggestions(spark, sf):
     """The model's marks for undecided frames that stacks say nothing of."""
