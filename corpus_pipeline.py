@@ -7,6 +7,7 @@ documents; the last returns their token ids.
 from __future__ import annotations
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     except AnalysisException:
         return numbered(settled(docs, "documents"))
     files = sorted(r["_file"] for r in placed.select("_file").distinct().collect())  # reads no column
-    first = spark.createDataFrame([(f, n << 40) for n, f in enumerate(files)], "_file string, _first long")
+    first = spark.createDataFrame(pa.table({"_file": pa.array(files, pa.string()), "_first": pa.array([n << 40 for n in range(len(files))], pa.int64())}))
     return placed.join(F.broadcast(first), "_file").select(*docs.columns, (F.col("_first") + F.col("_at")).alias("_row"))
 
 
