@@ -193,22 +193,36 @@ def met(rows: DataFrame) -> DataFrame:
         "key", "node", F.when(F.col("_salt") == 0, F.col("_least")).otherwise(F.col("hub")).alias("hub"))
 
 
-def could_link(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and short sketches allow two sets to link."""
-    apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in sketch_columns()), F.lit(0))
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+def apart(x: str, y: str) -> Column:
+    """In how many bits the short sketches of two columns of structs differ."""
+    return sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in sketch_columns()), F.lit(0))
+
+
+def apart_wide(x: str, y: str) -> Column:
+    """The same of wide sketches; null if one has none."""
+    return F.aggregate(
+        F.zip_with(F.col(f"{x}.wide"), F.col(f"{y}.wide"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+
+
+def could_link(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and sketches allow two sets (structs ``n, s0.., wide``) to link."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    most = (100 - percent) * (n + m)
     return (
         (100 * F.least(n, m) >= percent * F.greatest(n, m))
-        & ((100 + percent) * apart <= (100 - percent) * (n + m)))
+        & ((100 + percent) * apart(x, y) <= most)
+        & ((100 + percent) * F.coalesce(apart_wide(x, y), F.lit(0)) <= most))
+
+
+def sketched(nodes: DataFrame, node: str, sketch: str) -> DataFrame:
+    """Each node with its size and sketches as one column."""
+    return nodes.select(F.col("node").alias(node), F.struct("n", *sketch_columns(), "wide").alias(sketch))
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, alike: Alike) -> DataFrame:
     """The pairs ``a, b`` that all sketches allow to link."""
-    x, y = (nodes.select(F.col("node").alias(c), F.struct("n", *sketch_columns(), "wide").alias(s)) for c, s in (("a", "x"), ("b", "y")))
-    apart = F.aggregate(
-        F.zip_with(F.col("x.wide"), F.col("y.wide"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
-    allowed = (100 + alike.percent) * F.coalesce(apart, F.lit(0)) <= (100 - alike.percent) * (F.col("x.n") + F.col("y.n"))
-    return pairs.join(x, "a").join(y, "b").where(could_link("x", "y", alike.percent) & allowed).select("a", "b")
+    return pairs.join(sketched(nodes, "a", "x"), "a").join(sketched(nodes, "b", "y"), "b").where(
+        could_link("x", "y", alike.percent)).select("a", "b")
 
 
 def sets(docs: DataFrame, wanted: DataFrame, alike: Alike, doc_id: str, text: str) -> DataFrame:
@@ -278,12 +292,12 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alike: A
     and never paired. Keys of a node meet in one shuffle in which a key that
     many nodes have has one row a part of the input; each key's nodes are
     first compared with one of them. Nodes that came together so need no more
-    comparing; in keys that still hold more than one component all pairs
-    across components are, so no link that joins components is lost. A
-    passage that falls in the offered segments of m different texts that
-    don't link gives up to m * (m - 1) / 2 such pairs in one key; short
-    sketches refuse most of them for small sets and none for sets of over
-    some 900 shingles, whose wide sketches are tested after.
+    comparing. Of keys that still hold more than one component, those with
+    the same nodes are one; in it components are compared by bounds for all
+    their nodes, then nodes with components, and pairs are made only of nodes
+    that sketches leave, so no link that joins components is lost. Sketches
+    tell sets of up to some 8,000 shingles apart; larger ones that share an
+    offered segment and don't link are paired within their key.
     """
     about = settled(described(docs, alike, doc_id, text), "sets")
     levels = levels_of(about.where("slot IS NOT NULL"), alike)
@@ -320,18 +334,68 @@ def linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, alike: Alike, do
 
 
 def still_open(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """``key, node, root`` of the keys whose nodes lie in more than one
+    """``key, root, node`` of the keys whose nodes lie in more than one
     component. A part's own hub stands in the key's rows too, so the key's
-    nodes are all there."""
-    members = groups.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = members.groupBy("key").agg(F.min("root").alias("_l"), F.max("root").alias("_m")).where("_l < _m").select("key")
-    return members.join(split, "key", "left_semi")
+    nodes are all there. Of keys that the very same nodes have (two texts with
+    a page in common share a key for every few words of it) only one stays;
+    sets of nodes are known by two 64-bit hashes and their size."""
+    members = groups.select("key", "node").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = members.groupBy("key").agg(
+        F.min("root").alias("_l"), F.max("root").alias("_m"), F.count("*").alias("_rows"),
+        *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"_h{k}") for k in range(2)]).where("_l < _m")
+    split = split.groupBy("_h0", "_h1", "_rows").agg(F.min("key").alias("key")).select("key")
+    return members.join(split, "key", "left_semi").select("key", "root", "node")
+
+
+def cells(open_: DataFrame, nodes: DataFrame, alike: Alike) -> tuple[DataFrame, DataFrame]:
+    """An open key's nodes of one component are a cell: ``key, root, node, x``
+    (the node's sketches) and ``key, root, c`` of cells.
+
+    Sketches' distance keeps to the triangle inequality, so a cell's first node
+    bounds the others': with r and q the first nodes of two cells, x and y
+    nodes of them, d(r, q) <= d(r, x) + d(x, y) + d(y, q), and d(x, y) is at
+    most ``percent``'s share of n(x) + n(y) if they link. ``c.reach`` is the most
+    that a cell's nodes add to the right side, in units of 1 / (100 + percent).
+    """
+    known = open_.join(sketched(nodes, "node", "x"), "node")
+    firsts = open_.groupBy("key", "root").agg(F.min("node").alias("_first")).join(sketched(nodes, "_first", "first"), "_first")
+    placed = known.join(firsts.drop("_first"), ["key", "root"])
+    whole, left = 100 + alike.percent, (100 - alike.percent) * F.col("x.n")
+    reach = placed.groupBy("key", "root").agg(
+        F.max(whole * apart("x", "first") + left).alias("reach"),
+        F.when(F.every(F.col("x.wide").isNotNull()), F.max(whole * apart_wide("x", "first") + left)).alias("far"),
+        F.min("x.n").alias("least"), F.max("x.n").alias("most"))
+    found = firsts.join(reach, ["key", "root"]).select("key", "root", F.struct("first.*", "reach", "far", "least", "most").alias("c"))
+    return known, found
+
+
+def near(x: str, y: str, reach: str, far: str, percent: int) -> Column:
+    """Whether sketches are as near as both sides' reach allows."""
+    whole = 100 + percent
+    return (whole * apart(x, y) <= F.expr(reach)) & F.coalesce(whole * apart_wide(x, y) <= F.expr(far), F.lit(True))
 
 
 def across(open_: DataFrame, nodes: DataFrame, alike: Alike) -> DataFrame:
-    """All pairs ``a, b`` of an open key's nodes in two components that short sketches allow."""
-    known = open_.join(nodes, "node").select("key", "root", "node", F.struct("n", *sketch_columns()).alias("s"))
-    x = known.select("key", F.col("node").alias("a"), F.col("root").alias("_a"), F.col("s").alias("x"))
-    y = known.select("key", F.col("node").alias("b"), F.col("root").alias("_b"), F.col("s").alias("y"))
-    return x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("_a") != F.col("_b"))
-                  & could_link("x", "y", alike.percent)).select("a", "b").distinct()
+    """The pairs ``a, b`` of an open key's nodes in two components that sketches allow.
+
+    Cells are compared first, then each node with the other's cell, and only
+    nodes that may have a partner there with each other.
+    """
+    percent, left = alike.percent, 100 - alike.percent
+    known, found = cells(open_, nodes, alike)
+    known, found = settled(known, "members"), settled(found, "cells")
+    p = found.select("key", F.col("root").alias("p"), F.col("c").alias("u"))
+    q = found.select("key", F.col("root").alias("q"), F.col("c").alias("v"))
+    sides = settled(p.join(q, "key").where(
+        (F.col("p") < F.col("q"))
+        & (100 * F.col("u.most") >= percent * F.col("v.least")) & (100 * F.col("v.most") >= percent * F.col("u.least"))
+        & near("u", "v", "u.reach + v.reach", "u.far + v.far", percent)), "sides")
+
+    def side(own: str, other: str, node: str, sketch: str) -> DataFrame:
+        mine = known.select("key", F.col("root").alias(own), F.col("node").alias(node), F.col("x").alias(sketch))
+        return mine.join(sides.select("key", "p", "q", F.col(other).alias("o")), ["key", own]).where(
+            near(sketch, "o", f"{left} * {sketch}.n + o.reach", f"{left} * {sketch}.n + o.far", percent)).select(
+            "key", "p", "q", node, sketch)
+
+    pairs = side("p", "v", "a", "x").join(side("q", "u", "b", "y"), ["key", "p", "q"]).where(could_link("x", "y", percent))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

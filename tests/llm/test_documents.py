@@ -345,6 +345,56 @@ def test_jaccard_chains_and_thresholds(spark):
     same([tuple(x) for x in found], brute(rows))
 
 
+def near_groups(r, words, groups, copies, shared):
+    """Groups of near copies of texts that all begin alike, drifting by more and more words."""
+    opening, out = [f"o{j}" for j in range(words * shared // 100)], []
+    for g in range(groups):
+        own = opening + [f"g{words}_{g}_{j}" for j in range(words - len(opening))]
+        for k in range(copies):
+            text = list(own)
+            for at in r.sample(range(words), words * k // (20 * copies)):
+                text[at] = f"x{r.randint(0, 10**9)}"
+            out.append(" ".join(text))
+    return out
+
+
+def test_jaccard_groups_that_share_passages(spark):
+    r = random.Random(4)
+    texts = near_groups(r, 60, 5, 9, 60) + near_groups(r, 500, 4, 8, 70) + near_groups(r, 1200, 4, 6, 80)
+    rows = [(k, t) for k, t in enumerate(texts)] + [(900 + k, t) for k, t in enumerate(texts[::5])]
+    r.shuffle(rows)
+    found = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    same([tuple(x) for x in found], brute(rows))
+
+
+def test_no_pair_across_components_is_lost(spark):
+    """Cells' bounds leave every pair that sketches leave, whatever the components; keys with the same nodes are one."""
+    r = random.Random(8)
+    texts = near_groups(r, 90, 3, 10, 75) + near_groups(r, 505, 3, 6, 75) + near_groups(r, 1100, 2, 6, 85)
+    alike, docs = jaccard.Alike(slots=1 << 10), spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = jaccard.described(docs, alike, "doc_id", "text").where("node IS NOT NULL").drop("slot", "count", "doc_id").distinct()
+    known = {x["node"]: x for x in nodes.collect()}
+    names = sorted(known)
+    roots = {n: names[r.randrange(12)] for n in names}
+    held = {1: names, 2: names, 3: r.sample(names, 30), 4: names[:1], 5: [n for n in names if roots[n] == roots[names[0]]]}
+    groups = spark.createDataFrame([(k, n, n) for k, ns in held.items() for n in ns + ns[:3]], "key long, node long, hub long")
+    open_ = jaccard.still_open(groups, spark.createDataFrame(list(roots.items()), "node long, root long"))
+    assert sorted({x["key"] for x in open_.collect()}) == [1, 3]
+
+    def bits(a, b):
+        return sum(((x ^ y) & 2**64 - 1).bit_count() for x, y in zip(a, b))
+
+    def may(a, b):
+        most = 25 * (a["n"] + b["n"])
+        short = 175 * bits([a[c] for c in jaccard.sketch_columns()], [b[c] for c in jaccard.sketch_columns()]) <= most
+        wide = not (a["wide"] and b["wide"]) or 175 * bits(a["wide"], b["wide"]) <= most
+        return 100 * min(a["n"], b["n"]) >= 75 * max(a["n"], b["n"]) and short and wide
+
+    expected = {(a, b) for a in names for b in names if a < b and roots[a] != roots[b] and may(known[a], known[b])}
+    assert expected
+    assert {(x["a"], x["b"]) for x in jaccard.across(open_, nodes, alike).collect()} == expected
+
+
 def test_linked_sets_share_a_key():
     r = np.random.default_rng(3)
     alike, levels = jaccard.Alike(), r.integers(0, 9, 1 << 20).astype(np.uint8)
