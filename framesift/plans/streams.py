@@ -168,14 +168,24 @@ def _write_files(batches):
     """One small file a row of ``(path, data)``, in its own folder."""
     import pyarrow as pa
 
+    made = set()
     for batch in batches:
         for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            os.makedirs(os.path.dirname(path), exist_ok=True)
+            if (folder := os.path.dirname(path)) not in made:
+                os.makedirs(folder, exist_ok=True)
+                made.add(folder)
             with open(path, "wb") as file:
                 file.write(data)
         yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
 
 
+def _written(files: DataFrame) -> None:
+    """Every ``(path, data)`` written, dealt over tasks: a table's few splits may
+    hold a great many rows."""
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files.repartition(parts, "path").mapInArrow(_write_files, "n long").agg(F.sum("n")).collect()
+
+
 def _customers(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("c_custkey")
     suffix = F.when(key % 3 == 0, ".ARW").when(key % 3 == 1, ".jpeg").otherwise(".txt")
@@ -263,7 +273,8 @@ def arriving_pictures(spark, sf):
     root = A.mounted(spark, "arriving")
     path = F.concat(F.lit(f"{root}/"), "folder", F.lit("/"), "name")
     files = _customers(spark, sf).select(path.alias("path"), F.encode(F.lit("x"), "UTF-8").alias("data"))
-    files.mapInArrow(_write_files, "n long").agg(F.sum("n")).collect()
-    found = _drained(folders.arriving(spark, root), "arrived")
+    _written(files)
+    with folders.named_only(spark):
+        found = _drained(folders.arriving(spark, root, files_per_batch=100_000), "arrived")
     held = counts.kinds_held(found.withColumn("dir", scalars.base_name("dir")))
     return held.select(F.col("dir").alias("folder"), "raw", "jpeg", "png", (F.col("raw") + F.col("jpeg") + F.col("png")).alias("total"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +16,31 @@ from framesift.sources.shared import settled
 from framesift.streaming.kept import Kept
 
 
+@contextmanager
+def named_only(spark: SparkSession) -> Iterator[None]:
+    """The session's settings while a stream runs that reads files' names alone.
+    Spark lists a batch's files once more with a task a file, and reads them with
+    a task for every few, as if each were opened; here the one takes as many
+    tasks as a shuffle has, the other one for some two thousand files."""
+    wanted = {
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism": spark.conf.get("spark.sql.shuffle.partitions"),
+        "spark.sql.files.openCostInBytes": "64k",
+    }
+    before = {key: spark.conf.get(key) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def arriving(spark: SparkSession, root: str, files_per_batch: int = 10_000) -> DataFrame:
     """The pictures under a path as they appear, ``(dir, path, name, kind,
-    length, modified)``. Only their names are read. Spark's file source doesn't
-    see names that start with ``_``."""
+    length, modified)``. Only their names are read, so run it in
+    :func:`named_only` where they are many. Spark's file source doesn't see names
+    that start with ``_``."""
     files = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")

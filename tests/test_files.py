@@ -108,6 +108,19 @@ def test_folders_fill_up(spark, shoot, tmp_path):
     assert sorted(r.name for r in spark.table("arrived").collect()) == ["DSC2.jpg", "DSC3.NEF"]
 
 
+def test_a_batch_of_names_takes_few_tasks(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"{k}.jpg").write_bytes(b"x")
+    with folders.named_only(spark):
+        query = folders.arriving(spark, str(tmp_path)).writeStream.format("memory").queryName("few").trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert spark.table("few").count() == 300
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup(str(query.runId)) for s in tracker.getJobInfo(job).stageIds]
+    assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= 4
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == "4194304b"
+
+
 def test_the_shared_folder_is_the_cluster_s(spark):
     class Cluster:
         conf = {"spark.checkpoint.dir": "/shared/"}
