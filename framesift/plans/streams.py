@@ -149,7 +149,7 @@ def stream_passed(spark, sf):
     views = A.views(spark, sf)
     views.write.parquet(source)
     seen = spark.readStream.schema(views.schema).parquet(source)
-    # State with timers is kept in RocksDB only.
+    # Open sittings are kept on disk.
     key, held = "spark.sql.streaming.stateStore.providerClass", "RocksDBStateStoreProvider"
     before = spark.conf.get(key)
     spark.conf.set(key, f"org.apache.spark.sql.execution.streaming.state.{held}")

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
 from framesift.functions import scalars
+from framesift.functions.scalars import bind
 from framesift.operators import counts
 from framesift.sources.shared import settled
 from framesift.streaming.kept import Kept
@@ -91,50 +90,6 @@ def live_counts(
     )
 
 
-class _Leaving(StatefulProcessor):
-    """Per sitting and frame what was seen of it, until the folder has been
-    left alone for long enough to be taken as left."""
-
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.frames = handle.getMapState("frames", "path string", "rating int, at long")
-        self.sitting = handle.getValueState("sitting", "marked boolean, timer long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        marked, timer = self.sitting.get() if self.sitting.exists() else (False, 0)
-        last = 0
-        for part in rows:
-            for path, rating, before, at in zip(part["path"], part["rating"], part["held"], part["at"]):
-                at, last = int(at), max(last, int(at))
-                seen = pd.isna(rating)
-                marked = marked or not seen
-                held = self.frames.getValue((path,)) if self.frames.containsKey((path,)) else None
-                if seen and held is None:
-                    self.frames.updateValue((path,), (0 if pd.isna(before) else int(before), -1))
-                elif not seen and (held is None or at >= held[1]):
-                    self.frames.updateValue((path,), (int(rating), at))
-        if timer:
-            self.handle.deleteTimer(timer)
-        timer = max(timer, last + self.idle_ms)
-        self.handle.registerTimer(timer)
-        self.sitting.update((bool(marked), timer))
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.sitting.exists() and self.sitting.get()[0]:
-            left = [path for (path,), (rating, _) in self.frames.iterator() if rating == 0]
-            if left:
-                yield pd.DataFrame({"session": key[0], "dir": key[1], "path": left})
-        self.frames.clear()
-        self.sitting.clear()
-
-    def close(self) -> None:
-        pass
-
-
 def passed(
     views: DataFrame, log: DataFrame, idle: str = "30 minutes", late: str = "5 minutes", ratings: DataFrame | None = None
 ) -> DataFrame:
@@ -145,21 +100,25 @@ def passed(
     held before the stream began is in ``ratings`` ``(path, rating)``, a table
     that's joined to each batch: a frame with a rating isn't passed over. Only
     what the watermark has closed comes out; the sittings still open at the
-    end are those the batch operator gives besides. Needs the RocksDB state
-    store.
+    end are those the batch operator gives besides. Kept of a folder until then are
+    its frames seen and its marks.
     """
+    # Marks of one time stand in the log's order, if it tells.
+    seq = F.col("seq") if "seq" in log.columns else F.unix_millis("ts")
     marked = log.where(F.col("how") != "pass").select(
-        "session", scalars.parent("file.path").alias("dir"), F.col("file.path").alias("path"), "rating", "ts"
+        "session", scalars.parent("file.path").alias("dir"), F.col("file.path").alias("path"), seq.alias("made"),
+        F.col("rating").cast("int").alias("rating"), "ts",
     )
     if ratings is None:
-        views = views.withColumn("held", F.lit(None).cast("int"))
+        views = views.withColumn("rating", F.lit(0))
     else:
-        views = views.join(ratings.select("path", F.col("rating").cast("int").alias("held")), "path", "left")
-    seen = views.select("session", "dir", "path", F.lit(None).cast("int").alias("rating"), "held", "ts")
-    both = seen.unionByName(marked.withColumn("held", F.lit(None).cast("int"))).withWatermark("ts", late).withColumn("at", F.unix_millis("ts"))
-    return both.groupBy("session", "dir").transformWithStateInPandas(
-        statefulProcessor=_Leaving(int(pd.Timedelta(idle).total_seconds() * 1000)),
-        outputStructType="session long, dir string, path string",
-        outputMode="append",
-        timeMode="eventTime",
-    )
+        held = ratings.select("path", F.coalesce(F.col("rating").cast("int"), F.lit(0)).alias("rating"))
+        views = views.join(held, "path", "left").withColumn("rating", F.coalesce("rating", F.lit(0)))
+    seen = views.select("session", "dir", "path", F.lit(None).cast(marked.schema["made"].dataType).alias("made"), "rating", "ts")
+    both = seen.unionByName(marked).withWatermark("ts", late)
+    visits = both.groupBy("session", "dir", F.session_window("ts", idle).alias("_visit")).agg(
+        F.max(F.col("made").isNotNull()).alias("_marked"), F.collect_set(F.struct("path", "made", "rating")).alias("_frames"))
+    # What was only seen sorts before marks: the last of a path tells what it came to.
+    left = bind(F.array_sort("_frames"), lambda frames: F.filter(
+        frames, lambda f, i: (f["rating"] == 0) & ~F.get(frames, i + 1)["path"].eqNullSafe(f["path"])))
+    return visits.where("_marked").select("session", "dir", F.explode(left).alias("_f")).select("session", "dir", "_f.path")

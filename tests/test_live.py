@@ -80,3 +80,23 @@ def test_what_a_batch_reads(spark, tmp_path):
         live.take(spark.createDataFrame([(("/d7/b.jpg",), batch_id, batch_id, batch_id)], LOG), batch_id)
         assert len(parts_written(live.marks.root, batch_id)) == len(parts_written(live.counts.root, batch_id)) == 1
         assert live.read(batch_id).where("dir = '/d7'").select("picks", "total").first() == (2, 2)
+
+
+def test_passed_by_visits(spark, tmp_path):
+    """A folder left and come back to in one batch is left twice; marks of one time go by the log's order."""
+    minute = 60_000
+    views = [("/d", n, at) for n, at in (("a", 0), ("b", 1), ("kept", 1), ("b", 2), ("a", 600))] + [("/looked", "a", 0), ("/late", "z", 9000)]
+    marks = [("/d", "b", 3, 1, 5, 0), ("/d", "c", 1, 2, 5, 1), ("/d", "c", 0, 2, 5, 2), ("/d", "a", 1, 601, 5, 0)]
+    spark.createDataFrame([(7, d, f"{d}/{n}", at * minute) for d, n, at in views], "session long, dir string, path string, at long").withColumn(
+        "ts", F.timestamp_millis("at")).drop("at").write.parquet(str(tmp_path / "views"))
+    log = [(7, (f"{d}/{n}",), rating, "mark", at * minute, (at * minute, batch, line)) for d, n, rating, at, batch, line in marks]
+    spark.createDataFrame(log, "session long, file struct<path: string>, rating int, how string, at long, seq struct<at: long, batch: long, line: long>").withColumn(
+        "ts", F.timestamp_millis("at")).write.parquet(str(tmp_path / "log"))
+    streams = [spark.readStream.schema(spark.read.parquet(str(tmp_path / n)).schema).parquet(str(tmp_path / n)) for n in ("views", "log")]
+    held = spark.createDataFrame([("/d/kept", 3), ("/d/b", None)], "path string, rating int")
+    found = journal.passed(*streams, "30 minutes", ratings=held)
+    assert "Pandas" not in found._jdf.queryExecution().analyzed().toString()
+    query = found.writeStream.format("memory").queryName("visits").trigger(availableNow=True).start()
+    query.awaitTermination()
+    # In the first visit nothing became of a and c; in the second a was marked.
+    assert sorted(tuple(r) for r in spark.table("visits").collect()) == [(7, "/d", "/d/a"), (7, "/d", "/d/c")]
