@@ -244,22 +244,22 @@ def _png(rows: list[bytes], width: int) -> bytes:
 def picture_pixels(spark, sf):
     """The small pictures written as PNGs, and decoded again."""
     root = A.mounted(spark, "pictures")
-    whole = A.pixels(spark, sf).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b"))).alias("cells"))
+    cell = F.struct("y", "x", F.array("r", "g", "b").alias("rgb"))
+    whole = A.pixels(spark, sf).groupBy("path").agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
+    # A picture is one binary by the time Python has it: as hex, two digits a level.
+    digits = F.transform(F.flatten(F.transform("_cells", lambda c: c["rgb"])), lambda v: F.lpad(F.hex(v), 2, "0"))
+    files = whole.select(F.concat(F.lit(f"{root}/"), "path", F.lit(".png")).alias("path"), F.unhex(F.array_join(digits, "")).alias("data"))
 
-    def write(batches):
+    def packed(batches):
         import pyarrow as pa
 
-        os.makedirs(root, exist_ok=True)
+        across = 3 * A.SIDE
         for batch in batches:
-            for path, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                flat = bytes(v for c in cells for v in (c["r"], c["g"], c["b"]))
-                width = A.SIDE
-                rows = [flat[i : i + 3 * width] for i in range(0, len(flat), 3 * width)]
-                with open(f"{root}/{path}.png", "wb") as file:
-                    file.write(_png(rows, width))
-            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
-
-    whole.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+            flat = batch.column(1).to_pylist()
+            pngs = [_png([levels[i : i + across] for i in range(0, len(levels), across)], A.SIDE) for levels in flat]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pngs, pa.binary())], ["path", "data"])
+
+    _written(files.mapInArrow(packed, "path string, data binary"))
     return pictures.read(spark, root).withColumn("path", scalars.stem(scalars.base_name("path")))
 
 

@@ -16,9 +16,12 @@ _PIXELS_AT_ONCE = 1 << 18
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, rows = [], 0
     for batch in batches:
-        for path, h, w, channels, data in zip(*(c.to_pylist() for c in batch.columns)):
-            levels = np.frombuffer(data, np.uint8).reshape(h, w, channels)
+        for k in range(batch.num_rows):
+            # A picture's bytes are looked at where they are, one after another.
+            path, h, w, channels = (batch.column(c)[k].as_py() for c in range(4))
+            levels = np.frombuffer(batch.column(4)[k].as_buffer(), np.uint8).reshape(h, w, channels)
             step = max(1, _PIXELS_AT_ONCE // max(w, 1))
             for top in range(0, h, step):
                 part = levels[top : top + step]
@@ -27,7 +30,13 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # Stored blue first; grey is all three.
                 b, g, r = (flat[:, min(i, channels - 1)] for i in range(3))
                 columns = [pa.repeat(path, len(x)), *(pa.array(v.astype(np.int32)) for v in (x, y, r, g, b))]
-                yield pa.RecordBatch.from_arrays(columns, PIXELS.names)
+                held.append(pa.RecordBatch.from_arrays(columns, PIXELS.names))
+                rows += len(x)
+                if rows >= _PIXELS_AT_ONCE:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, rows = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def read(spark: SparkSession, path: str, format: str = "image") -> DataFrame:

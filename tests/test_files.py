@@ -3,6 +3,7 @@
 import json
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,17 @@ def test_pictures_are_unpacked(spark, tmp_path):
     assert (pixels.sizes(table).first().w, pixels.sizes(table).first().h) == (5, 3)
 
 
+def test_pictures_are_unpacked_a_few_at_a_time():
+    """Small pictures share a batch, and none is larger than it has to be."""
+    n, side = 3000, 16
+    data = [bytes([k % 256]) * (3 * side * side) for k in range(n)]
+    whole = pa.RecordBatch.from_pydict({"path": [str(k) for k in range(n)], "h": [side] * n, "w": [side] * n, "c": [3] * n, "data": data})
+    found = list(pictures._unpacked(iter([whole])))
+    assert len(found) < 5 and max(b.num_rows for b in found) <= (1 << 18) + side * side
+    assert sum(b.num_rows for b in found) == n * side * side
+    assert [(b.column(0)[-1].as_py(), b.column(3)[-1].as_py()) for b in found][-1] == (str(n - 1), (n - 1) % 256)
+
+
 def test_folders_fill_up(spark, shoot, tmp_path):
     query = folders.arriving(spark, str(shoot)).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
     query.awaitTermination()
