@@ -31,6 +31,8 @@ from framesift.sources import shared
 BLOCK = "_block"
 # Blocks of a task's share of the rows, and rows looked at to find where each ends.
 BLOCKS, LOOKS = 4, 8
+# Rows a task that sorts them is dealt.
+MOST, LEAST = 1 << 20, 1 << 16
 
 
 def laid(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -68,6 +70,15 @@ def laid(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return spark.table(name)
 
 
+def dealt(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """The rows, of which there are ``n``, by keys to tasks that sort them: a task
+    gets some ``MOST`` rows, and no fewer than ``LEAST`` to have more tasks than
+    a shuffle has. Adaptive execution would put as many together as there are cores,
+    by their size as they are packed."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(-(-n // MOST), min(parts, -(-n // LEAST)), 1), *keys)
+
+
 def is_laid(rows: DataFrame) -> bool:
     return BLOCK in rows.columns
 

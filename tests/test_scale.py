@@ -187,3 +187,16 @@ def test_formats(frames):
     held = {r.dir for r in rows if r.kind == "png"}
     found = assemble.of_format(frames, "png").select("path").collect()
     assert {r.path for r in found} == {r.path for r in rows if r.kind == "png" or r.dir not in held}
+
+
+def test_rows_to_sort_are_dealt_by_number(spark, monkeypatch):
+    """As many partitions as the rows need, and adaptive execution leaves them."""
+    from framesift.operators import pixels
+
+    monkeypatch.setattr(scale, "MOST", 100)
+    table = spark.range(900).select(
+        F.floor(F.col("id") / 9).cast("string").alias("path"), (F.col("id") % 3).cast("int").alias("x"), F.floor(F.col("id") % 9 / 3).cast("int").alias("y"),
+        *(F.lit(7).alias(c) for c in "rgb"))
+    steep = pixels.steepness(table)
+    assert steep.rdd.getNumPartitions() == 9
+    assert steep.count() == 100 and {r.gradient for r in steep.collect()} == {0}
