@@ -222,7 +222,7 @@ def opened_folders(spark, sf):
             )
         ).alias("_")
     ).select("_.path", "_.data").where(F.col("path").isNotNull())
-    files.mapInArrow(_write_files, "n long").agg(F.sum("n")).collect()
+    _written(files)
     dirs = customers.select(F.concat(F.lit(f"{root}/"), "folder").alias("dir")).distinct()
     listed = listing.listed_all(dirs)
     frames = assemble.with_ratings(assemble.pictures(listed), listing.sidecars(listed))

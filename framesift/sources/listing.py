@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import batched
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,16 @@ from framesift.operators import assemble
 from framesift.schema import LISTING
 
 
+# Files a batch is made of: what is told of them, and what is in them.
+_AT_ONCE, _TEXTS_AT_ONCE = 10_000, 100
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """A few short rows can be hours of work, so their size doesn't tell how many tasks they need.
+    By a hash of the key: by the key itself a shuffle before would be taken for this one."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(key))
+
+
 def _entries(dir_: str) -> Iterator[tuple]:
     with os.scandir(dir_) as entries:
         for entry in entries:
@@ -72,10 +83,10 @@ def listed_all(dirs: DataFrame) -> DataFrame:
         arrow = pa.schema(list(zip(LISTING.names, types)))
         for batch in batches:
             for dir_ in batch.column(0).to_pylist():
-                rows = [dict(zip(LISTING.names, e)) for e in _entries(dir_.rstrip("/"))]
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                for some in batched(_entries(dir_.rstrip("/")), _AT_ONCE):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], schema=arrow)
 
-    return dirs.select("dir").mapInArrow(entries, LISTING)
+    return _dealt(dirs.select("dir"), "dir").mapInArrow(entries, LISTING)
 
 
 def opened(spark: SparkSession, *dirs: str, formats: str = "all") -> DataFrame:
@@ -89,23 +100,25 @@ def opened(spark: SparkSession, *dirs: str, formats: str = "all") -> DataFrame:
 
 def sidecars(listing: DataFrame) -> DataFrame:
     """The text of the sidecars among listed files, ``(sidecar_path, xmp)``,
-    each read by the task that has its row."""
+    dealt over tasks whichever folder they're in."""
     files = listing.where(~F.col("is_dir") & F.lower("name").endswith(".xmp")).select("path")
 
     def texts(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                try:
-                    with open(path, encoding="utf-8", newline="") as file:
-                        text = file.read()
-                except (OSError, UnicodeDecodeError):
-                    # There, but not to be read: it has no description.
-                    text = ""
-                yield pa.RecordBatch.from_pydict({"sidecar_path": [path], "xmp": [text]})
-
-    return files.mapInArrow(texts, "sidecar_path string, xmp string")
+            for paths in batched(batch.column(0).to_pylist(), _TEXTS_AT_ONCE):
+                found = []
+                for path in paths:
+                    try:
+                        with open(path, encoding="utf-8", newline="") as file:
+                            found.append(file.read())
+                    except (OSError, UnicodeDecodeError):
+                        # There, but not to be read: it has no description.
+                        found.append("")
+                yield pa.RecordBatch.from_pydict({"sidecar_path": list(paths), "xmp": found})
+
+    return _dealt(files, "path").mapInArrow(texts, "sidecar_path string, xmp string")
 
 
 def sidecars_under(spark: SparkSession, root: str) -> DataFrame:

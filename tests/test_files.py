@@ -94,6 +94,20 @@ def test_small_files_by_key(spark, tmp_path):
     assert [r.key for r in measures.read_faces(spark, str(tmp_path / "f")).collect()] == ["k1", "k1"]
 
 
+def test_folders_and_sidecars_are_dealt_over_tasks(spark, tmp_path):
+    """Two folders in one partition, and all sidecars in one folder, are several tasks' work."""
+    for n in ("a", "b"):
+        (tmp_path / n).mkdir()
+    for k in range(250):
+        (tmp_path / "a" / f"{k}.xmp").write_text(str(k))
+    dirs = spark.createDataFrame([(str(tmp_path / n),) for n in ("a", "b")], "dir string").distinct()
+    listed = listing.listed_all(dirs)
+    assert listed.rdd.getNumPartitions() == 4 and listed.count() == 250
+    texts = listing.sidecars(listed)
+    assert texts.groupBy(F.spark_partition_id()).count().count() == 4
+    assert sorted(int(r.xmp) for r in texts.collect()) == list(range(250))
+
+
 def test_pictures_are_unpacked(spark, tmp_path):
     rows = [bytes(v for x in range(5) for v in (x, y, 200)) for y in range(3)]
     (tmp_path / "a.png").write_bytes(_png(rows, 5))
