@@ -293,9 +293,10 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alike: A
     many nodes have has one row a part of the input; each key's nodes are
     first compared with one of them. Nodes that came together so need no more
     comparing. Of keys that still hold more than one component, those with
-    the same nodes are one; in it components are compared by bounds for all
-    their nodes, then nodes with components, and pairs are made only of nodes
-    that sketches leave, so no link that joins components is lost. Sketches
+    the same nodes are one, and those with mostly the same are put together; in
+    them components are compared by bounds for all their nodes, then nodes with
+    components, and pairs are made only of nodes that sketches leave, so no
+    link that joins components is lost. Sketches
     tell sets of up to some 8,000 shingles apart; larger ones that share an
     offered segment and don't link are paired within their key.
     """
@@ -308,7 +309,8 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alike: A
     pairs = settled(plausible(star(groups), nodes, alike), "pairs")
     links = settled(linked(docs, pairs, nodes, alike, doc_id, text), "links")
     roots = settled(components(links), "roots")
-    more = across(settled(still_open(groups, roots), "open"), nodes, alike).join(pairs, ["a", "b"], "left_anti")
+    open_ = settled(gathered(settled(still_open(groups, roots), "open")), "gathered")
+    more = across(open_, nodes, alike).join(pairs, ["a", "b"], "left_anti")
     more = settled(plausible(more, nodes, alike), "pairs")
     if not more.isEmpty():
         links = linked(docs, more, nodes, alike, doc_id, text).union(
@@ -347,6 +349,32 @@ def still_open(groups: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(split, "key", "left_semi").select("key", "root", "node")
 
 
+def gathered(open_: DataFrame) -> DataFrame:
+    """The rows ``key, root, node`` with keys put together that mostly the same nodes have.
+
+    Texts of one origin share many keys, each had by most of them, and a pair
+    would be met under every one. Keys are put together by the node that
+    comes first by hash, or by those that do by two hashes: keys with a share s
+    of their nodes in common have the same with a chance of s, or its square.
+    No pair that shared a key is lost by that, and only groups are put together
+    in which there are no more pairs to compare than under their keys
+    one by one; so nothing grows where nodes have little in common.
+    """
+    keys = settled(open_.groupBy("key").agg(
+        F.count("*").alias("_n"), *[F.min(F.xxhash64("node", F.lit(k))).alias(f"_f{k}") for k in range(2)]), "keys")
+
+    def together(*firsts: str) -> DataFrame:
+        placed = keys.select("key", "_n", F.xxhash64(*firsts).alias("_group"))
+        nodes = open_.join(placed, "key").select("_group", "node").distinct().groupBy("_group").agg(F.count("*").alias("_nodes"))
+        pairs = placed.groupBy("_group").agg(F.sum(F.col("_n") * F.col("_n")).alias("_pairs"), F.count("*").alias("_keys"))
+        fit = pairs.where("_keys > 1").join(nodes, "_group").where("_nodes * _nodes <= _pairs")
+        return placed.join(fit, "_group", "left_semi").select("key", F.col("_group").alias(f"_by{len(firsts)}"))
+
+    named = keys.join(together("_f0"), "key", "left").join(together("_f0", "_f1"), "key", "left").select(
+        "key", F.coalesce("_by1", "_by2", "key").alias("_group"))
+    return open_.join(named, "key").select(F.col("_group").alias("key"), "root", "node").distinct()
+
+
 def cells(open_: DataFrame, nodes: DataFrame, alike: Alike) -> tuple[DataFrame, DataFrame]:
     """An open key's nodes of one component are a cell: ``key, root, node, x``
     (the node's sketches) and ``key, root, c`` of cells.

@@ -395,6 +395,27 @@ def test_no_pair_across_components_is_lost(spark):
     assert {(x["a"], x["b"]) for x in jaccard.across(open_, nodes, alike).collect()} == expected
 
 
+def test_keys_of_mostly_the_same_nodes_are_put_together(spark):
+    """A pair of a group of near copies was met under each of the keys that both have; now under a few. Keys with little in common stay alone."""
+    r = random.Random(9)
+    held = {k: r.sample(range(100, 160), 52) for k in range(70)}
+    held |= {k: [10_000 + k, 20_000 + k, 30_000] for k in range(200, 260)}
+    rows = [(k, n, n) for k, ns in held.items() for n in ns]
+    open_ = jaccard.gathered(spark.createDataFrame(rows, "key long, root long, node long")).collect()
+    assert len(open_) == len({(x["key"], x["node"]) for x in open_}) and all(x["root"] == x["node"] for x in open_)
+    now = {}
+    for x in open_:
+        now.setdefault(x["key"], set()).add(x["node"])
+
+    def pairs(nodes):
+        return {(a, b) for a in nodes for b in nodes if a < b}
+
+    before, after = [p for ns in held.values() for p in pairs(ns)], [p for ns in now.values() for p in pairs(ns)]
+    assert set(before) <= set(after), "no pair that shared a key is lost"
+    assert len(after) < len(before) / 5
+    assert all(len(ns) == 3 for ns in now.values() if 30_000 in ns), "one node in common is not enough"
+
+
 def test_linked_sets_share_a_key():
     r = np.random.default_rng(3)
     alike, levels = jaccard.Alike(), r.integers(0, 9, 1 << 20).astype(np.uint8)
