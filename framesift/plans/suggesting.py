@@ -12,6 +12,7 @@ from framesift.plans import culling, marks
 from framesift.plans.registry import query
 from framesift.scale import laid
 from framesift.sources import measures
+from framesift.sources.shared import settled
 
 FRAMES = f"WITH {A.FRAMES_SQL}"
 
@@ -196,24 +197,26 @@ def measured_once(spark, sf):
     shots = A.table(spark, sf, "events").select(
         F.concat(F.lit("DSC"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("_stem"),
         F.date_format(A.utc("ts"), "yyyy:MM:dd HH:mm:ss").alias("captured"))
-    given = A.frames(spark, sf)
+    # Files, captures and measures are all read off these; their columns are made once.
+    given = settled(A.frames(spark, sf).select("dir", "path", "name", "signals"))
     listed = given.select(
         F.col("dir").alias("parent"), "path", "name", F.lit(False).alias("is_dir"), F.xxhash64("path").alias("length"),
         F.timestamp_seconds(F.lit(1_700_000_000)).alias("modified"))
     captures = given.select("path", "name").withColumn("_stem", F.substring("name", 1, 15)).join(shots, "_stem").select("path", "captured")
     root = A.scratch(spark, "measures")
+    # Read by both runs and what comes after them.
+    keyed = measures.keyed(assemble.with_captures(assemble.pictures(listed), captures), 1)
+    frames = settled(keyed.select("dir", "path", "key", "captured"))
 
-    def run() -> tuple[DataFrame, DataFrame]:
-        frames = measures.keyed(assemble.with_captures(assemble.pictures(listed), captures), 1)
+    def run() -> DataFrame:
         # What can't be measured is looked at each time.
         fresh = measures.missing(frames, spark, root, 1).select("path", "key").join(
             given.where(F.col("signals").isNotNull()).select("path", "signals.*"), "path")
-        added = measures.merge(fresh.drop("path"), root, 1)
-        return measures.attach(frames, spark, root, 1), added
+        return measures.merge(fresh.drop("path"), root, 1)
 
-    (_, first), (frames, second) = run(), run()
-    stacked = stacks.by_time(laid(frames.select("dir", "path", "key", "captured", "signals"), ["dir"], "path"), A.GAP)
+    first, second = run(), run()
     times = first.select("key").unionAll(second.select("key")).groupBy("key").agg(F.count("*").cast("int").alias("n"))
-    return stacked.join(times, "key", "left").select(
+    found = settled(measures.attach(frames, spark, root, 1).join(times, "key", "left"))
+    return stacks.by_time(laid(found, ["dir"], "path"), A.GAP).select(
         "path", "captured", "stack", F.round("signals.focus", 9).alias("focus"), F.col("signals.faces").cast("int").alias("faces"),
         F.coalesce("n", F.lit(0)).alias("runs_measured_in"))

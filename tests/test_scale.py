@@ -203,3 +203,12 @@ def test_rows_to_sort_are_dealt_by_number(spark, monkeypatch):
     marks = pixels.peaking(table)
     assert "ShuffledHashJoin" in marks._jdf.queryExecution().sparkPlan().toString()
     assert marks.count() == 900
+
+
+def test_files_keys_are_made_once(spark):
+    """Both runs of measured_once, the folders' counts and the result read tables; the events were projected and joined again for each."""
+    from framesift.plans import catalog
+
+    found = catalog.QUERIES["measured_once"](spark, "/root/testdata/sf0.001")
+    read = found.inputFiles()
+    assert read and not any("events" in path for path in read)
