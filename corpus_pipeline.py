@@ -81,7 +81,7 @@ def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents' ids by byte-level BPE, and whether they decode to the text. A null text is an empty one."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.decoded(bpe.encoded(docs, path, pattern), path, pattern).select(
+    return bpe.encoded(docs, path, pattern, decode=True).select(
         "doc_id", "ids", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

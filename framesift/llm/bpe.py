@@ -132,8 +132,11 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, ids, n_tokens``, a row for each row given.
+def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text",
+            decode: bool = False) -> DataFrame:
+    """``doc_id, ids, n_tokens``, a row for each row given; with ``decode`` also
+    ``decoded``, the bytes the ids stand for, made by the same worker: another
+    step for it (:func:`decoded`) has a worker and a vocabulary of its own for each task.
 
     ``ids`` are little-endian unsigned 32-bit numbers; none for a null or empty
     text. Each match of the pattern is encoded by itself, without special
@@ -144,15 +147,17 @@ def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = vocabulary(path, pattern).encode
+        of = vocabulary(path, pattern)
         for piece in pieces(batches, "text"):
-            ids = [encode(t) if t else b"" for t in piece.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())],
-                ["doc_id", "ids", "n_tokens"])
+            ids = [of.encode(t) if t else b"" for t in piece.column("text").to_pylist()]
+            made = [piece.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())]
+            if decode:
+                made.append(pa.array([of.decode(i) for i in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "ids", "n_tokens", "decoded"][: len(made)])
 
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens long")
+    kind = given.schema["doc_id"].dataType.simpleString()
+    return given.mapInArrow(run, f"doc_id {kind}, ids binary, n_tokens long" + ", decoded binary" * decode)
 
 
 def decoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -5,12 +5,13 @@ import struct
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 from test_documents import _ranks, brute, counted, listed
 
 import corpus_pipeline
-from framesift.llm import convnet
+from framesift.llm import batches, bpe, convnet
 from framesift.llm.queries import held_out
 from framesift.llm.shared import settled
 
@@ -106,3 +107,29 @@ def test_row_numbers_stay_whatever_the_splits(spark, tmp_path):
     # What isn't a table is written once.
     made = corpus_pipeline.numbered(spark.range(50).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit(1).alias("_row")))
     assert made.select("_row").distinct().count() == 50 and made.columns == ["doc_id", "text", "_row"]
+
+
+def test_ids_are_decoded_where_they_are_made(spark):
+    """One worker a task in the last stage: a second one for decoding, which the stages before found no room beside, doubled their number."""
+    rows = [(1, "Two  words\n"), (None, "naïve ##"), (3, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = corpus_pipeline.token_ids(spark, docs, "")
+    assert found._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    two = bpe.decoded(bpe.encoded(docs, path, pattern), path, pattern).select(
+        "doc_id", "ids", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    assert found.columns == two.columns and Counter(map(tuple, found.collect())) == Counter(map(tuple, two.collect()))
+    assert [r[0] for r in bpe.encoded(docs, path, pattern, decode=True).select("decoded").collect()] == [(t or "").encode() for _, t in rows]
+
+
+def test_pieces_give_back_what_arrow_holds(monkeypatch):
+    released = []
+
+    class Pool:
+        def release_unused(self):
+            released.append(1)
+
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab", "cd", None, "efghi", "j"])], ["text"])
+    assert [p.column("text").to_pylist() for p in batches.pieces([batch], "text", 4)] == [["ab", "cd", None], ["efghi"], ["j"]]
+    assert len(released) == 3
