@@ -9,6 +9,7 @@ with a CRC-32 of the ids it stands for.
 from __future__ import annotations
 
 import os
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -16,18 +17,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framesift.llm.batches import pieces
 from framesift.llm.ranges import before
-from framesift.llm.rangecoder import BLOCK, decode, encode
+from framesift.llm.rangecoder import BLOCK, I, decode, encode
 
 MAGIC = b"FSIDS1\n\0"
 # magic, length of header and blocks, partition, frame in it, documents, ids, blocks
 HEAD = "<8sQIIIQI"
 # Ids after which a frame is closed, words a worker remembers, and words coded in one go.
-FRAME, WORDS, GO = 2_000_000, 1_000_000, 2048
+FRAME, WORDS, GO = 4_000_000, 1_000_000, 2048
+# Bytes of texts whose words are told apart together: the more, the fewer are looked up again.
+TEXTS = 16 << 20
 
 
 def letters(word: bytes) -> bool:
@@ -39,7 +43,8 @@ class WordCoder:
     """A tokenizer applied word by word: this one's normalizer, pattern and
     special tokens never look across white space, so words seen before needn't be coded
     again, and letters before a last sign are coded as without it, if the last
-    is still a letter once normalized (the pattern joins marks with signs)."""
+    is still a letter once normalized (the pattern joins marks with signs). ASCII
+    letters are coded as small ones if the normalizer makes them so."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -51,6 +56,9 @@ class WordCoder:
             raise ValueError("ids have to fit 16 bits")
         self.last = np.zeros(65536, bool)  # whether an id ends a run of letters
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        normalizer = self.tokenizer.normalizer
+        # Whether ASCII letters are coded as small ones.
+        self.folds = normalizer is not None and normalizer.normalize_str(string.ascii_uppercase) == string.ascii_lowercase
         self.known: dict[bytes, bytes] = {}
         self.alone: dict[str, bool] = {}  # whether signs after a letter are coded by themselves
 
@@ -66,25 +74,48 @@ class WordCoder:
         return self.alone[letter]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids as little-endian 16-bit numbers."""
-        words = [t.split() for t in texts]  # at ASCII white space
-        new = {w for ws in words for w in ws}.difference(self.known)
-        if len(self.known) + len(new) > WORDS:
-            self.known.clear()
-            new = {w for ws in words for w in ws}
-        self.add(new)
-        known = self.known.__getitem__
-        return [b"".join(map(known, ws)) for ws in words]
+        """Each text's ids as little-endian 16-bit numbers. Arrow tells words apart
+        and lays their ids out, so that Python looks up different words only."""
+        if not texts:
+            return []
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
+        places = split.values.dictionary_encode()
+        words = places.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, words))
+        new = {w for w, ids in zip(words, found) if ids is None}
+        if new:
+            if len(self.known) + len(new) > WORDS:
+                self.known.clear()
+            self.add(new)
+            found = [self.known[w] if ids is None else ids for w, ids in zip(words, found)]
+        laid = pa.array(found, pa.large_binary()).take(places.indices)
+        ends = np.frombuffer(laid.buffers()[1], I, len(laid) + 1)[split.offsets.to_numpy()].tolist()
+        data = memoryview(laid.buffers()[2] or b"")
+        return [bytes(data[start:end]) for start, end in zip(ends, ends[1:])]
 
     def add(self, new: set[bytes]) -> None:
-        signed = [w for w in new if w[-1:] in b".,!?;:" and letters(w[:-1]) and self.apart(w[:-1])]
-        cores = {w[:-1] for w in signed}.union({w[-1:] for w in signed}).difference(self.known)
-        new = new.difference(signed).union(cores)
-        plain = [w for w in new if letters(w)]
-        others = list(new.difference(plain))
+        plain, large, rest = set(), [], set()
+        for w in new:
+            if not w.isalpha():  # ASCII letters
+                rest.add(w)
+            elif self.folds and not w.islower():
+                large.append(w)
+            else:
+                plain.add(w)
+        signed = [w for w in rest if w[-1:] in b".,!?;:" and letters(w[:-1]) and self.apart(w[:-1])]
+        cores = {w[:-1] for w in signed}.union({w[-1:] for w in signed}).difference(self.known, new)
+        rest = rest.difference(signed).union(cores)
+        small = [w for w in rest if w.isalpha()]
+        if self.folds:
+            large += [w for w in small if not w.islower()]
+            small = [w.lower() for w in small]
+        more = [w for w in rest if not w.isalpha() and letters(w)]
+        others = [w for w in rest.difference(more) if not w.isalpha()]
+        plain.update(small, [w.lower() for w in large])
+        plain = list(plain.difference(self.known)) + more
         for start in range(0, len(plain), GO):
             some = plain[start : start + GO]
-            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u2")
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u2")
             ends = np.flatnonzero(self.last[ids]) + 1
             packed = ids.tobytes()
             if len(ends) != len(some):  # a letter that isn't one once normalized
@@ -98,6 +129,8 @@ class WordCoder:
             some = others[start : start + GO]
             coded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
             self.known.update(zip(some, (struct.pack(f"<{len(c.ids)}H", *c.ids) for c in coded)))
+        for w in large:
+            self.known[w] = self.known[w.lower()]
         for w in signed:
             self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
 
@@ -153,7 +186,7 @@ def written(docs: DataFrame, path: str, tokenizer: str, end: int, doc_id: str =
     every executor has.
 
     Texts are shuffled once, by ranges of the order; a task holds a frame of
-    about two million ids, or one document that is longer. Frames are rows
+    about four million ids, or one document that is longer. Frames are rows
     that Spark's text writer puts into files of a few frames each.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +196,7 @@ def written(docs: DataFrame, path: str, tokenizer: str, end: int, doc_id: str =
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([frame(part, seq, held)], pa.binary())], ["frame"])
 
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", TEXTS):
             part = piece.column("part")[0].as_py()
             texts = [t or b"" for t in piece.column("text").cast(pa.binary()).to_pylist()]
             for name, ids in zip(piece.column("doc_id").to_pylist(), coder(tokenizer).encode(texts)):

@@ -282,6 +282,36 @@ def test_names_of_special_tokens_are_their_ids():
     assert found[0] == struct.pack("<3H", 343, 49407, 344)
 
 
+def test_words_are_looked_up_once_a_batch(monkeypatch):
+    """However often a word comes; and ids are the library's, also where words are forgotten between batches."""
+
+    class Counting(dict):
+        n = 0
+
+        def get(self, w, default=None):
+            self.n += 1
+            return dict.get(self, w, default)
+
+        def __getitem__(self, w):
+            self.n += 1
+            return dict.__getitem__(self, w)
+
+    coder = idfiles.WordCoder(WORDS)
+    coder.known = Counting()
+    found = coder.encode([b"two words " * 1000, b" two\t", b""])
+    assert coder.known.n <= 12
+    assert [len(i) for i in found] == [4000, 2, 0] and found[0][:4] * 1000 == found[0]
+    tokenizer, r = Tokenizer.from_file(WORDS), random.Random(5)
+    monkeypatch.setattr(idfiles, "WORDS", 40)
+    coder = idfiles.WordCoder(WORDS)
+    for _ in range(60):
+        texts = ["".join(r.choice(["a", "B", "the", "É", "e\u0301", "İ", ".", ",", "'s", "7", "##", " ", "\t", "\n", "\x0b", "\x1c", "\x85", "\u3000", "你", "<|endoftext|>"])
+                         for _ in range(r.randint(0, 40))) for _ in range(6)]
+        expected = [struct.pack(f"<{len(e.ids)}H", *e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert coder.encode([t.encode() for t in texts]) == expected
+    assert idfiles.WordCoder(WORDS).encode([]) == []
+
+
 def test_frames_are_checked():
     docs = [(5, struct.pack("<600H", *range(600))), (None, b"\x01\x00"), (7, struct.pack("<3H", 9, 8, 1))]
     whole = idfiles.frame(2, 3, docs)
