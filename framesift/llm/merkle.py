@@ -105,9 +105,16 @@ def grown(leaves: DataFrame, width: int) -> Trees:
     return Trees(path, height, settled(roots.select("part_number", "part_rows", "height", "digest"), "roots"))
 
 
+def met(rows: DataFrame, others: DataFrame, on: str | list[str]) -> DataFrame:
+    """The join of tables that grow with the leaves. Spark takes paths for much
+    smaller than they are (siblings are one digest long to it), and would send
+    them to all tasks by way of the driver; merged, neither side is held whole."""
+    return rows.join(others.hint("merge"), on)
+
+
 def below(frontier: DataFrame, records: DataFrame, width: int) -> DataFrame:
     """The children of nodes ``part_number, rank, digest, path``, each with its siblings on its path."""
-    return frontier.join(records, "digest").select(
+    return met(frontier, records, "digest").select(
         "part_number", "rank", "path", "subroot", "children", F.posexplode("children").alias("digit", "digest")
     ).select("part_number", (F.col("rank") * width + F.col("digit")).alias("rank"), "digest", "subroot", path_with("digit").alias("path"))
 
@@ -147,8 +154,8 @@ class Manifest:
             at = below(at, self.top.level(k), width)
             if requests is not None:
                 at = at.join(wanted.select(F.expr(f"part_number div {width ** (k - 1)}").alias("rank")).distinct(), "rank", "left_semi")
-        starts = settled(at.select(F.col("rank").alias("part_number"), F.lit(0).cast("long").alias("rank"), "digest",
-                                   F.col("digest").alias("subroot"), "path").join(
+        starts = settled(met(
+            at.select(F.col("rank").alias("part_number"), F.lit(0).cast("long").alias("rank"), "digest", F.col("digest").alias("subroot"), "path"),
             self.parts.roots.select("part_number", "height"), "part_number"), "starts")
         at = starts.where(f"height = {self.parts.height}").drop("height")
         for k in range(self.parts.height, 1, -1):
@@ -158,12 +165,12 @@ class Manifest:
                 at = at.join(above, ["part_number", "rank"], "left_semi")
             at = at.unionByName(starts.where(f"height = {k - 1}").drop("height"))
         alone = starts.where("height = 0").select("part_number", "subroot", "path")
-        out = wanted.where("part_rows = 1").join(alone, "part_number")
+        out = met(wanted.where("part_rows = 1"), alone, "part_number")
         if self.parts.height:
-            parents = at.join(self.parts.level(1), "digest").select(
+            parents = met(at, self.parts.level(1), "digest").select(
                 "part_number", F.col("rank").alias("_parent"), "subroot", "path", "children")
             found = wanted.where("part_rows > 1").withColumns({"_parent": F.expr(f"rank div {width}"), "_digit": F.col("rank") % width})
-            found = found.join(parents, ["part_number", "_parent"]).withColumn("path", path_with("_digit"))
+            found = met(found, parents, ["part_number", "_parent"]).withColumn("path", path_with("_digit"))
             out = out.unionByName(found.select(out.columns))
         return out.withColumn("path", F.reverse("path"))
 

@@ -158,6 +158,14 @@ def test_small_manifests(spark):
     assert one.root.hex() == h("1:1") == row.subroot.hex() and row.path == []
 
 
+def test_paths_are_never_broadcast(spark):
+    """Paths grow with the table, and Spark's estimates take them for small."""
+    leaves = spark.range(300).select("id", F.when(F.col("id") > 250, F.col("id")).alias("part"), merkle.row_digest(F.col("id")).alias("digest"))
+    found = merkle.manifest(leaves, "part", ["id"]).proofs()
+    assert len(found.collect()) == 300
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def without(texts, length):
     """Each text's number of bytes, spans and rest, by counting all strings."""
     given = [(t or "").encode() for t in texts]
