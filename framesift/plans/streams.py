@@ -275,6 +275,6 @@ def arriving_pictures(spark, sf):
     files = _customers(spark, sf).select(path.alias("path"), F.encode(F.lit("x"), "UTF-8").alias("data"))
     _written(files)
     with folders.named_only(spark):
-        found = _drained(folders.arriving(spark, root, files_per_batch=100_000), "arrived")
+        found = _drained(folders.arriving(spark, root, files_per_batch=100_000, kept=A.mounted(spark, "names")), "arrived")
     held = counts.kinds_held(found.withColumn("dir", scalars.base_name("dir")))
     return held.select(F.col("dir").alias("folder"), "raw", "jpeg", "png", (F.col("raw") + F.col("jpeg") + F.col("png")).alias("total"))

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from framesift.functions import predicates, scalars
 from framesift.operators import assemble, counts
 from framesift.operators.stacks import GAP
+from framesift.sources import listing, shared
 from framesift.sources.shared import settled
 from framesift.streaming.kept import Kept
 
@@ -19,10 +20,12 @@ from framesift.streaming.kept import Kept
 @contextmanager
 def named_only(spark: SparkSession) -> Iterator[None]:
     """The session's settings while a stream runs that reads files' names alone.
-    Spark lists a batch's files once more with a task a file, and reads them with
-    a task for every few, as if each were opened; here the one takes as many
-    tasks as a shuffle has, the other one for some two thousand files."""
+    The names known are kept on disk. Where Spark lists the files (see
+    :func:`arriving`), it lists a batch's once more with a task a file, and reads
+    them with a task for every few, as if each were opened; here the one takes as
+    many tasks as a shuffle has, the other one for some two thousand files."""
     wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.sources.parallelPartitionDiscovery.parallelism": spark.conf.get("spark.sql.shuffle.partitions"),
         "spark.sql.files.openCostInBytes": "64k",
     }
@@ -36,11 +39,37 @@ def named_only(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
-def arriving(spark: SparkSession, root: str, files_per_batch: int = 10_000) -> DataFrame:
+def _mounted(spark: SparkSession, root: str) -> str | None:
+    """The path of a folder that tasks can list; None for one in a store that only Spark reaches."""
+    scheme, found, _ = root.partition(":/")
+    if not found or "/" in scheme:
+        home = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:"
+        return root if home.startswith("file:") else None
+    return "/" + root[len("file:") :].lstrip("/") if scheme == "file" else None
+
+
+def arriving(spark: SparkSession, root: str, files_per_batch: int = 10_000, kept: str | None = None) -> DataFrame:
     """The pictures under a path as they appear, ``(dir, path, name, kind,
-    length, modified)``. Only their names are read, so run it in
-    :func:`named_only` where they are many. Spark's file source doesn't see names
-    that start with ``_``."""
+    length, modified)``, each path once. Only their names are read, so run it in
+    :func:`named_only` where they are many. Names that start with ``_`` aren't
+    seen, as by Spark's file source.
+
+    A folder mounted on every machine is listed by tasks with every batch, and
+    names known from before left out by a stream's state, which lies on the
+    executors; the driver holds no names. So give the stream an interval to be
+    triggered at. A batch has all that is new. ``kept`` is a mounted folder of
+    this stream's own where a batch's names stay until it's done; a stream that
+    goes on from its checkpoint in another session names the same one again.
+
+    Other stores, and patterns of paths, are listed by Spark's file source,
+    ``files_per_batch`` at once, which keeps all names it has seen in the driver.
+    """
+    folder = None if any(c in root for c in "*?[{") else _mounted(spark, root)
+    if folder is not None:
+        kept = _mounted(spark, kept or shared.folder(spark, "arrivals"))
+        if kept is None:
+            raise ValueError("kept must name a folder mounted on every machine")
+        return assemble.pictures(listing.arrivals(spark, folder, kept)).dropDuplicates(["path"])
     files = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")

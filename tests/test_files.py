@@ -1,6 +1,7 @@
 """What is read from files and written to them."""
 
 import json
+import os
 from types import SimpleNamespace
 
 import pyarrow as pa
@@ -147,6 +148,71 @@ def test_a_batch_of_names_takes_few_tasks(spark, tmp_path):
     assert spark.conf.get("spark.sql.files.openCostInBytes") == "4194304b"
 
 
+def test_arrivals_come_once_and_the_driver_keeps_no_names(spark, tmp_path):
+    """A later file comes however old it says it is, and what's known isn't in the source's log."""
+    root, state = tmp_path / "root", tmp_path / "state"
+    (root / "a").mkdir(parents=True)
+    (root / "a" / "1.jpg").write_bytes(b"x")
+
+    def run():
+        with folders.named_only(spark):
+            stream = folders.arriving(spark, str(root), kept=str(tmp_path / "kept")).writeStream.format("parquet")
+            query = stream.option("checkpointLocation", str(state)).trigger(availableNow=True).start(str(tmp_path / "out"))
+            query.awaitTermination()
+        return sorted(r.name for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == ["1.jpg"] == run()
+    (root / "a" / "2.jpg").write_bytes(b"x")
+    os.utime(root / "a" / "2.jpg", (1e9, 1e9))
+    assert run() == ["1.jpg", "2.jpg"]
+    (root / "b c" / "d").mkdir(parents=True)
+    (root / "b c" / "d" / "3.ARW").write_bytes(b"x")
+    assert run() == ["1.jpg", "2.jpg", "3.ARW"]
+    for log in ("sources", "offsets"):
+        assert not [f for f in (state / log).rglob("*") if f.is_file() and b".jpg" in f.read_bytes()]
+
+
+@pytest.mark.parametrize("tasks,least,named", [(1, 1, 9), (3, 2, 9), (4, 100, 9), (4, 100, 1)])
+def test_arrivals_are_what_spark_would_list(spark, tmp_path, monkeypatch, tasks, least, named):
+    monkeypatch.setattr(listing, "_AT_ONCE", 3)  # so that folders are shared out, and names come in several batches
+    monkeypatch.setattr(listing, "_NAMED", named)
+    names = ["a b+%20.jpg", "_x.jpg", "_x=y.jpg", ".h.jpg", "_metadata.jpg", "z._COPYING_", "é.ARW", *(f"{k}.jpg" for k in range(20))]
+    root = tmp_path / "root"
+    for dir_ in ("", "one", "one/two/three", "_off", ".off", "_k=v", "_metadata", "empty/empty"):
+        (root / dir_).mkdir(parents=True, exist_ok=True)
+        for name in names if "empty" not in dir_ else ():
+            (root / dir_ / name).write_bytes(b"x" * len(name))
+    reader = listing._ArrivalReader(str(root), str(tmp_path / "kept"), tasks, least)
+
+    def read(end):
+        parts = reader.partitions({"pass": 0}, end)
+        assert len(parts) <= tasks
+        return sorted((r["path"], r["length"]) for p in parts for b in reader.read(p) for r in b.to_pylist())
+
+    spark_s = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(root)).select("path", "length").collect()
+    first = reader.latestOffset()
+    expected = sorted((r.path.removeprefix("file:"), r.length) for r in spark_s)
+    assert read(first) == expected and len(expected) == 23 * 5
+    # A batch run again has the rows it had; the next one has all that came.
+    (root / "new").mkdir()
+    (root / "new" / "late.jpg").write_bytes(b"x")
+    (root / "1.jpg").unlink()
+    again = listing._ArrivalReader(str(root), str(tmp_path / "kept"), tasks, least)
+    second = again.latestOffset()
+    assert read(first) == expected and len(read(second)) == len(expected)
+    again.commit(first)
+    assert [f.name for f in (tmp_path / "kept").iterdir()] == [str(second["pass"])]
+
+
+def test_arrivals_of_a_pattern_s_folders(spark, tmp_path):
+    for dir_ in ("a1", "a2", "b"):
+        (tmp_path / dir_).mkdir()
+        (tmp_path / dir_ / f"{dir_}.jpg").write_bytes(b"x")
+    query = folders.arriving(spark, f"{tmp_path}/a*").writeStream.format("memory").queryName("some").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.path for r in spark.table("some").collect()) == [f"{tmp_path}/a1/a1.jpg", f"{tmp_path}/a2/a2.jpg"]
+
+
 def test_the_shared_folder_is_the_cluster_s(spark):
     class Cluster:
         conf = {"spark.checkpoint.dir": "/shared/"}
